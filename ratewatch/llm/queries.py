@@ -8,12 +8,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewatch.llm import bpe
+from ratewatch.llm import bpe, cws, packing, sharding, simhash
 from ratewatch.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked at 3 or fewer differing bits."""
+    found = simhash.near_duplicates(documents(spark, sf_dir), most=3, words=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents in 24 shards of nearly equal bytes."""
+    placed, _ = sharding.shard_documents(documents(spark, sf_dir), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return cws.fingerprint_documents(documents(spark, sf_dir))
+
+
+def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    pieces = packing.pack_documents(documents(spark, sf_dir), BYTE_BPE, packing.Limits(tokens=2048, segments=64, loss_tokens=2048), end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of the ids and of the decoded text."""
     both = bpe.decode_documents(bpe.encode_documents(documents(spark, sf_dir), BYTE_BPE), BYTE_BPE)
@@ -27,6 +50,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
+        "op2_virtual_slots": op2_virtual_slots,
+        "op3_weighted_sampling": op3_weighted_sampling,
+        "op6_vector_packing": op6_vector_packing,
         "op10_bpe": op10_bpe,
     }
 
