@@ -43,7 +43,7 @@ class ByteBPE:
     Inside, tokens are numbered 0-255 for bytes and 256 + rank for merges, so that a smaller number merges earlier.
     """
 
-    def __init__(self, tokenizer_json: str, special: bool = True, max_cached: int = 500_000):
+    def __init__(self, tokenizer_json: str, special: bool = True, max_cached: int = 120_000):
         spec = json.loads(tokenizer_json)
         letters, vocab = byte_letters(), spec["model"]["vocab"]
         spell = lambda token: bytes(letters[c] for c in token)
