@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewatch.llm import bpe, cws, packing, sharding, simhash
+from ratewatch.llm import bpe, cws, langid, packing, sharding, simhash, telephony, toxicity
 from ratewatch.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,12 +31,36 @@ def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of the labelled ones."""
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, langid.learn(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     pieces = packing.pack_documents(documents(spark, sf_dir), BYTE_BPE, packing.Limits(tokens=2048, segments=64, loss_tokens=2048), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from four fifths of the labels."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as telephony audio: stored, read back, expanded, described."""
+    media = telephony.to_media(documents(spark, sf_dir))
+    media = media.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    read = telephony.from_media(media, ["doc_id", "n_bytes", "media_bytes", "media_sha256"], keep_pcm=False)
+    tail = F.substring("payload", -16, 16)
+    return read.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of the ids and of the decoded text."""
     both = bpe.decode_documents(bpe.encode_documents(documents(spark, sf_dir), BYTE_BPE), BYTE_BPE)
@@ -53,7 +77,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_virtual_slots": op2_virtual_slots,
         "op3_weighted_sampling": op3_weighted_sampling,
+        "op5_ppm_language": op5_ppm_language,
         "op6_vector_packing": op6_vector_packing,
+        "op7_toxicity": op7_toxicity,
+        "op9_telephony": op9_telephony,
         "op10_bpe": op10_bpe,
     }
 
