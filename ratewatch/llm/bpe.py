@@ -217,10 +217,7 @@ class ByteBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.chunks) > self.max_cached:
-            self.chunks = {}
-        if len(self.pieces) > self.max_cached:
-            self.pieces = {}
+        self.trim()
         plans = [self._plan(t) for t in texts]
         chunks: set[str] = set()
         pieces: set[str] = set()
@@ -235,6 +232,13 @@ class ByteBPE:
         chunk = self.chunks.__getitem__
         return [b"".join(map(chunk, parts)) if fast else b"".join([self.special.get(p) or self.pieces[p] for p in parts]) for fast, parts in plans]
 
+    def trim(self) -> None:
+        """Keep the caches within their bound."""
+        if len(self.chunks) > self.max_cached:
+            self.chunks = {}
+        if len(self.pieces) > self.max_cached:
+            self.pieces = {}
+
     def _plan(self, text: str) -> tuple[bool, list[str]]:
         """The chunks of a text between single spaces, or its pre-tokens if a chunk could begin with white space.
 

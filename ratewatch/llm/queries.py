@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewatch.llm import bpe, cws, langid, packing, sharding, simhash, telephony, toxicity
+from ratewatch.llm import bpe, cws, edit_counts, langid, packing, sharding, simhash, telephony, toxicity
 from ratewatch.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +52,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after two edits: a passage replaced in its middle, and a few words added."""
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.char_length("text")
+    third, tenth = F.floor(n / 3).cast("int"), F.floor(n / 10).cast("int")
+    passage = F.struct(third.alias("start"), (third + tenth).alias("stop"), F.reverse(F.left("text", F.floor(n / 20).cast("int"))).alias("text"))
+    ending = F.struct((2 * n).alias("start"), (2 * n).alias("stop"), F.concat(F.lit(" "), F.left("text", F.lit(40))).alias("text"))
+    counted = edit_counts.count_edits(docs.withColumn("edits", F.array(passage, ending)), BYTE_BPE)
+    return counted.select("doc_id", "n_tokens", F.char_length("edited_text").cast("long").alias("edited_chars"), "edited_tokens", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "encoded_again")
+
+
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as telephony audio: stored, read back, expanded, described."""
     media = telephony.to_media(documents(spark, sf_dir))
@@ -80,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ppm_language": op5_ppm_language,
         "op6_vector_packing": op6_vector_packing,
         "op7_toxicity": op7_toxicity,
+        "op8_edit_counts": op8_edit_counts,
         "op9_telephony": op9_telephony,
         "op10_bpe": op10_bpe,
     }
