@@ -138,37 +138,53 @@ def fit(counts: DataFrame, least: int = 4) -> Model:
     return Model(languages, symbol, a, row_of.astype(np.int32), np.ascontiguousarray(bits.transpose(0, 2, 1).reshape(-1, langs), np.float32))
 
 
+def _judge(known: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and bits a byte of each text."""
+    names, scores, rates = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
+    todo = [i for i, t in enumerate(texts) if t and known.languages and _has_letter(t)]
+    at = 0
+    while at < len(todo):
+        end, size = at, 0
+        while end < len(todo) and (end == at or size < 500_000):
+            size += len(texts[todo[end]])
+            end += 1
+        raw = [texts[i].encode("utf-8", "replace") for i in todo[at:end]]
+        bits = known.code_lengths(raw)
+        best = bits.argmin(axis=1)
+        lead = bits - bits.min(axis=1, keepdims=True)
+        scores[todo[at:end]] = 1 / np.exp2(-np.minimum(lead, 1000)).sum(axis=1)
+        rates[todo[at:end]] = bits.min(axis=1) / np.fromiter(map(len, raw), np.int64, len(raw))
+        for i, b in zip(todo[at:end], best.tolist()):
+            names[i] = known.languages[b]
+        at = end
+    return names, scores, rates
+
+
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, lang_pred, score, bits_per_byte``; score is the winner's posterior under equal priors."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        known = shipped.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            names, scores, rates = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
-            todo = [i for i, t in enumerate(texts) if t and known.languages and _has_letter(t)]
-            at = 0
-            while at < len(todo):
-                end, size = at, 0
-                while end < len(todo) and (end == at or size < 500_000):
-                    size += len(texts[todo[end]])
-                    end += 1
-                raw = [texts[i].encode("utf-8", "replace") for i in todo[at:end]]
-                bits = known.code_lengths(raw)
-                best = bits.argmin(axis=1)
-                lead = bits - bits.min(axis=1, keepdims=True)
-                scores[todo[at:end]] = 1 / np.exp2(-np.minimum(lead, 1000)).sum(axis=1)
-                rates[todo[at:end]] = bits.min(axis=1) / np.fromiter(map(len, raw), np.int64, len(raw))
-                for i, b in zip(todo[at:end], best.tolist()):
-                    names[i] = known.languages[b]
-                at = end
+            names, scores, rates = _judge(shipped.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(names, pa.string()), pa.array(scores), pa.array(rates, from_pandas=True)], ["key", "lang_pred", "score", "bits_per_byte"])
 
     return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("key", key)
 
 
+def keep_known(docs: DataFrame, model: Model, most_bits: float = 8.0, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text some learned language describes in fewer bits a byte than none would."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            names, _, rates = _judge(shipped.value, batch.column(text).to_pylist())
+            yield batch.filter(pa.array((np.array(names) != UNKNOWN) & (np.nan_to_num(rates, nan=np.inf) < most_bits)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 

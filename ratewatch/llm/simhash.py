@@ -307,3 +307,17 @@ def near_duplicates(docs: DataFrame, most: int = 3, words: int = 3, most_in_buck
     ids = linked.join(by_root, "root").select("fp", "component_id")
     every = distinct.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(every, "fp").select(key, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, most: int = 3, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, of one document of each component: that with the smallest key.
+
+    Rows that repeat a key are one document. Rows with a null key can't be told apart, and stay.
+    """
+    found = cut(near_duplicates(docs, most, words, key=key, text=text), "near-duplicates")
+    copies = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    kept = docs.join(copies, key, "left_anti").select(*docs.columns)
+    twice = found.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").select(key)
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, key, "left_anti").select(*docs.columns).unionByName(kept.join(twice, key, "left_semi").dropDuplicates([key]).select(*docs.columns))

@@ -136,15 +136,31 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, key:
     return Model(lexicon, trees, calibration, float(share))
 
 
+def with_score(rows: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
+    """All columns of the rows, and their score in one more."""
+    names = {c: f"in{i}" for i, c in enumerate(rows.columns)}  # no name can clash with the models' columns
+    plain = rows.toDF(*names.values())
+    found = featurize(plain, model.lexicon, plain.columns, names[text])
+    if model.trees is None:
+        found = found.withColumn("raw", F.lit(model.share))
+    else:
+        found = model.trees.transform(found.withColumn("features", array_to_vector("x"))).withColumn("raw", vector_to_array("probability")[1]).select(*plain.columns, "raw")
+        if model.calibration is not None:
+            model.calibration.setPredictionCol("step")
+            # the raw score settles ties of the steps, by a hair
+            found = model.calibration.transform(found).withColumn("raw", F.col("step") * 0.999 + F.col("raw") * 0.001)
+    return found.select(*[F.col(n).alias(c) for c, n in names.items()], F.greatest(F.lit(0.0), F.least(F.lit(1.0), "raw")).alias(column))
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, score`` of each row."""
+    """``key, score`` of each row; the text goes no further than the features."""
     rows = featurize(docs.select(docs[key].alias("key"), docs[text].alias("text")), model.lexicon, ["key"])
     if model.trees is None:
         return rows.select(F.col("key").alias(key), F.lit(model.share).alias("score"))
     judged = model.trees.transform(rows.select("key", array_to_vector("x").alias("features"))).select("key", vector_to_array("probability")[1].alias("raw"))
     if model.calibration is not None:
-        # the raw score settles ties of the steps, by a hair
-        judged = model.calibration.transform(judged).withColumn("raw", F.col("prediction") * 0.999 + F.col("raw") * 0.001)
+        model.calibration.setPredictionCol("step")
+        judged = model.calibration.transform(judged).withColumn("raw", F.col("step") * 0.999 + F.col("raw") * 0.001)
     return judged.select(F.col("key").alias(key), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "raw")).alias("score"))
 
 
