@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewatch.llm import bpe, cws, edit_counts, langid, packing, sharding, simhash, telephony, toxicity
+from ratewatch.llm import bpe, cws, edit_counts, katz, langid, packing, sharding, simhash, telephony, toxicity
 from ratewatch.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,11 @@ def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz backoff scores of every document under bigrams of four fifths of them."""
+    return katz.score_documents(documents(spark, sf_dir), train=~katz.held_out(F.col("doc_id")), order=2)
+
+
 def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from two thirds of the labelled ones."""
     docs = documents(spark, sf_dir)
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_virtual_slots": op2_virtual_slots,
         "op3_weighted_sampling": op3_weighted_sampling,
+        "op4_katz": op4_katz,
         "op5_ppm_language": op5_ppm_language,
         "op6_vector_packing": op6_vector_packing,
         "op7_toxicity": op7_toxicity,
