@@ -17,8 +17,6 @@ follow one another by a hash of the text; an empty table gives an empty table. d
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -26,8 +24,6 @@ from pyspark.sql.window import Window as W
 from ratewatch.llm.common import WORD_PATTERN, cut
 
 SAMPLES = 64
-#: Samples drawn from a row at once: wide enough to share work, narrow enough to be compiled.
-AT_ONCE = 8
 _GAP = "[\\x20\\x09-\\x0D]+"
 _KEY = ["id", "th"]
 
@@ -85,7 +81,7 @@ def edited(rows: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def fingerprint_pairs(parts: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """``id, th, fp, edited_fp, near_edited`` of texts with at least a word in either version."""
+    """``id, th, fp, edited_fp`` of texts with at least a word in either version."""
     keep = F.lower("keep")
     broken = F.reverse(F.regexp_extract(F.reverse(keep), f"^{WORD_PATTERN}", 0))  # a word that the edit may cut
     split = parts.select(*_KEY, keep.alias("keep"), broken.alias("broken"), F.lower("own").alias("own"), F.lower("other").alias("other"))
@@ -99,21 +95,19 @@ def fingerprint_pairs(parts: DataFrame, samples: int = SAMPLES) -> DataFrame:
     in_first = F.col("at") < F.col("n_both") + F.col("n_first")
     in_second = (F.col("at") < F.col("n_both")) | ~in_first
     counts = each.groupBy(*_KEY, "term").agg(F.sum(in_first.cast("int")).alias("w1"), F.sum(in_second.cast("int")).alias("w2"))
-    terms = counts.select(*_KEY, F.xxhash64("term").alias("term"), F.ln("w1").alias("log1"), F.ln("w2").alias("log2"))
-    rows = terms.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples // AT_ONCE - 1))).alias("block"))
-    names = range(AT_ONCE)
-    drawn = rows.select(*_KEY, "block", "term", "log1", "log2", *[_draw(F.col("term"), F.col("block") * AT_ONCE + j, F.col("log1")).alias(f"a{j}") for j in names])
-    again = [F.when(F.col("log1").eqNullSafe(F.col("log2")), F.col(f"a{j}")).otherwise(_draw(F.col("term"), F.col("block") * AT_ONCE + j, F.col("log2"))) for j in names]
-    drawn = drawn.select(*_KEY, "block", *[f"a{j}" for j in names], *[x.alias(f"b{j}") for j, x in enumerate(again)])
-    least = drawn.groupBy(*_KEY, "block").agg(*[F.min(f"{v}{j}").alias(f"{v}{j}") for v in "ab" for j in names])
-    digits = lambda c: F.coalesce(F.lower(F.lpad(F.hex(F.col(c).bitwiseAND(F.lit(0xFFFF))), 4, "0")), F.lit("ffff"))
-    hexed = least.select(*_KEY, "block", *[digits(f"{v}{j}").alias(f"{v}{j}") for v in "ab" for j in names])
-    blocks = hexed.select(
-        *_KEY,
-        F.struct("block", F.concat(*[f"a{j}" for j in names]).alias("a"), F.concat(*[f"b{j}" for j in names]).alias("b"), reduce(lambda x, y: x + y, [(F.col(f"a{j}") == F.col(f"b{j}")).cast("int") for j in names]).alias("same")).alias("x"),
-    )
-    whole = blocks.groupBy(*_KEY).agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return whole.select(*_KEY, F.array_join("x.a", "").alias("fp"), F.array_join("x.b", "").alias("edited_fp"), (F.aggregate("x", F.lit(0), lambda s, x: s + x["same"]) / samples).alias("near_edited"))
+    # a term of the same weight in both versions is drawn for once
+    weights = F.when(F.col("w1") == F.col("w2"), F.array(F.struct(F.lit(0).alias("side"), F.col("w1").alias("w")))).otherwise(F.array(F.struct(F.lit(1).alias("side"), F.col("w1").alias("w")), F.struct(F.lit(2).alias("side"), F.col("w2").alias("w"))))
+    terms = counts.select(*_KEY, F.xxhash64("term").alias("term"), F.inline(weights)).where("w > 0").select(*_KEY, "side", "term", F.ln("w").alias("log_w"))
+    # the draws stand inside the aggregates: each becomes a small method of the generated code
+    least = terms.groupBy(*_KEY, "side").agg(*[F.min(_draw(F.col("term"), F.lit(j), F.col("log_w"))).alias(f"a{j}") for j in range(samples)])
+    sides = least.select(*_KEY, "side", F.array(*[f"a{j}" for j in range(samples)]).alias("a"))
+    both = sides.groupBy(*_KEY).agg(*[F.max(F.when(F.col("side") == i, F.col("a"))).alias(f"s{i}") for i in range(3)])
+    digits = lambda v: F.lower(F.lpad(F.hex(v.bitwiseAND(F.lit(0xFFFF))), 4, "0"))
+    # an absent side counts for nothing: least() passes over nulls
+    version = lambda i: F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.least(F.get(F.col("s0"), k), F.get(F.col(f"s{i}"), k)))
+    pairs = both.select(*_KEY, version(1).alias("a"), version(2).alias("b"))
+    spell = lambda c: F.array_join(F.transform(c, lambda v: F.coalesce(digits(v), F.lit("ffff"))), "")
+    return pairs.select(*_KEY, spell("a").alias("fp"), spell("b").alias("edited_fp"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -123,18 +117,18 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's fingerprint, its edited text's, and how like the first is to that and to the next document's."""
-    if samples % AT_ONCE:
-        raise ValueError(f"samples have to be a multiple of {AT_ONCE}")
+    if not 1 <= samples <= 90:
+        raise ValueError("1 to 90 samples: wider rows are not compiled")
     rows = keyed(docs, key, text)
     order = cut(neighbours(rows), "neighbours")
     parts = edited(rows, order)
     none = "ffff" * samples
     digests = parts.select(*_KEY, F.sha2(F.concat("keep", "other").cast("binary"), 256).alias("edited_sha256"))
-    fps = cut(
-        digests.join(fingerprint_pairs(parts, samples), _KEY, "left").select(*_KEY, "edited_sha256", F.coalesce("fp", F.lit(none)).alias("fp"), F.coalesce("edited_fp", F.lit(none)).alias("edited_fp"), F.coalesce("near_edited", F.lit(1.0)).alias("near_edited")),
-        "cws",
-    )
+    found = digests.join(fingerprint_pairs(parts, samples), _KEY, "left")
+    # written before they are compared: else each of the many comparisons would spell both fingerprints anew
+    fps = cut(found.select(*_KEY, "edited_sha256", F.coalesce("fp", F.lit(none)).alias("fp"), F.coalesce("edited_fp", F.lit(none)).alias("edited_fp")), "cws")
     following = fps.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("fp").alias("next_fp"))
-    out = order.join(fps, _KEY).join(following, ["next_id", "next_th"]).withColumn("near_next", likeness(F.col("fp"), F.col("next_fp"), samples))
+    near = lambda other: likeness(F.col("fp"), F.col(other), samples)
+    out = order.join(fps, _KEY).join(following, ["next_id", "next_th"]).withColumns({"near_edited": near("edited_fp"), "near_next": near("next_fp")})
     out = out.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
     return out.select(F.nullif("id", F.lit(-(1 << 63))).alias(key), "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next")
