@@ -7,9 +7,9 @@ programme allots the thresholds by the number of candidates that they are expect
 all fingerprints. Fingerprints that share a signature (a partition's bits with t_i of them blanked out) are verified.
 
 Equal fingerprints are one row from the start, whatever the number of copies. A signature with more than
-``most_in_bucket`` fingerprints is not compared pair by pair: its members are dealt anew by the pigeonhole of the bits
-that are still free. With each round fewer bits are free, and 2^free bounds a bucket, so this ends. Within a bucket
-only a spanning set of the verified links is emitted; components don't need more.
+``most_in_bucket`` fingerprints (a large group of near copies that all differ) is not gathered in one place: its members
+are cut by a hash into chunks of half that size, and each two chunks meet in a task. Within a bucket only a spanning set
+of the verified links is emitted, a link a row at most; components don't need more.
 
 Defined results: a text without words (null or empty too) has fingerprint zero, linked like any other; repeated rows
 are copies of each other; a null doc_id is never a component's id unless its whole component has none; an empty table
@@ -163,8 +163,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _batch(key: np.ndarray, fp: np.ndarray, free: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, fp, free)], ["key", "fp", "free"])
+def _batch(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, fp)], ["key", "fp"])
 
 
 def _unsigned(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -172,7 +172,7 @@ def _unsigned(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def first_signatures(fps: DataFrame, plan: Plan) -> DataFrame:
-    """``key, fp, free`` for each signature of each fingerprint; free: the bits that a key doesn't fix."""
+    """``key, fp`` for each signature of each fingerprint."""
     masks = np.array(plan.masks(), np.uint64)
     salts = _mix(np.arange(1, len(masks) + 1, dtype=np.uint64))
 
@@ -181,25 +181,17 @@ def first_signatures(fps: DataFrame, plan: Plan) -> DataFrame:
             fp = _unsigned(batch, "fp")
             for at in range(0, len(fp), 4096):
                 part = fp[at : at + 4096]
-                yield _batch(_mix((part[:, None] & masks) ^ salts).ravel(), np.repeat(part, len(masks)), np.tile(~masks, len(part)))
+                yield _batch(_mix((part[:, None] & masks) ^ salts).ravel(), np.repeat(part, len(masks)))
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long, free long")
+    return fps.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def next_signatures(crowded: DataFrame, most: int) -> DataFrame:
-    """The members of crowded buckets, dealt anew: their free bits in ``most + 1`` blocks, one of which is alike."""
-
-    def run(batches):
-        for batch in batches:
-            key, fp, free = (_unsigned(batch, c) for c in ("key", "fp", "free"))
-            on = np.unpackbits(free.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            block = (on.cumsum(axis=1) - 1) * (most + 1) // np.maximum(on.sum(axis=1, keepdims=True), 1)
-            for j in range(most + 1):
-                mask = np.packbits(on * (block == j), axis=1, bitorder="little").view(np.uint64).ravel()
-                some = mask != 0
-                yield _batch(_mix((fp & mask) ^ _mix(key + np.uint64(j + 1)))[some], fp[some], (free & ~mask)[some])
-
-    return crowded.select("key", "fp", "free").mapInArrow(run, "key long, fp long, free long")
+def pairs_of_chunks(crowded: DataFrame, most_in_bucket: int) -> DataFrame:
+    """The members of crowded buckets once for each pair of chunks that they belong to: any two members meet in one."""
+    sizes = crowded.groupBy("key").agg(F.ceil(F.count("*") / max(1, most_in_bucket // 2)).cast("int").alias("chunks"))
+    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    each = crowded.join(sizes, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return each.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp")
 
 
 def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -240,32 +232,32 @@ def _spanning(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, n
 
 
 def verify(signatures: DataFrame, most: int, most_in_bucket: int) -> DataFrame:
-    """``a, b`` of spanning links, and with a ``key`` the rows of buckets that are too large to compare."""
+    """``a, b`` of spanning links, and with a ``key`` the members (as ``a``) of buckets that are too large to compare."""
 
     def run(batches):
-        key = fp = free = np.empty(0, np.uint64)
+        key = fp = np.empty(0, np.uint64)
         crowded = None  # the key of a large bucket whose rows still come
 
-        def out(a, b, k, f):
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(k.view(np.int64)) if k is not None else pa.nulls(len(a), pa.int64()), pa.array(f.view(np.int64)) if f is not None else pa.nulls(len(a), pa.int64())], ["a", "b", "key", "free"])
+        def out(a, b, k=None):
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64()) if k is None else pa.array(k.view(np.int64))], ["a", "b", "key"])
 
         def passed(n):
             """The first n rows, which are whole buckets."""
             sizes = np.diff(np.r_[0, np.flatnonzero(key[1:n] != key[: n - 1]) + 1, n])
             large = np.repeat(sizes, sizes) > most_in_bucket
             if large.any():
-                yield out(fp[:n][large], fp[:n][large], key[:n][large], free[:n][large])
+                yield out(fp[:n][large], fp[:n][large], key[:n][large])
             a, b = _spanning(key[:n][~large], fp[:n][~large], most)
             if len(a):
-                yield out(a, b, None, None)
+                yield out(a, b)
 
         for batch in batches:
-            key, fp, free = (np.concatenate([x, _unsigned(batch, c)]) for x, c in ((key, "key"), (fp, "fp"), (free, "free")))
+            key, fp = (np.concatenate([x, _unsigned(batch, c)]) for x, c in ((key, "key"), (fp, "fp")))
             if crowded is not None:
                 n = int((key == crowded).argmin()) if (key != crowded).any() else len(key)
                 if n:
-                    yield out(fp[:n], fp[:n], key[:n], free[:n])
-                    key, fp, free = key[n:], fp[n:], free[n:]
+                    yield out(fp[:n], fp[:n], key[:n])
+                    key, fp = key[n:], fp[n:]
                 if not len(key):
                     continue
                 crowded = None
@@ -274,14 +266,14 @@ def verify(signatures: DataFrame, most: int, most_in_bucket: int) -> DataFrame:
             n = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])  # where the last bucket begins
             if n:
                 yield from passed(n)
-                key, fp, free = key[n:], fp[n:], free[n:]
+                key, fp = key[n:], fp[n:]
             if len(key) > most_in_bucket:
-                yield out(fp, fp, key, free)
-                crowded, key, fp, free = key[0], key[:0], fp[:0], free[:0]
+                yield out(fp, fp, key)
+                crowded, key, fp = key[0], key[:0], fp[:0]
         if len(key):
             yield from passed(len(key))
 
-    return signatures.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, key long, free long")
+    return signatures.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, key long")
 
 
 def links(fps: DataFrame, most: int = 3, most_in_bucket: int = 4096) -> DataFrame:
@@ -291,9 +283,10 @@ def links(fps: DataFrame, most: int = 3, most_in_bucket: int = 4096) -> DataFram
     plan = make_plan(*bit_counts(fps), most)
     checked = cut(verify(first_signatures(fps, plan), most, most_in_bucket), "links")
     found, crowded = checked.where("key is null"), checked.where("key is not null")
-    while not crowded.isEmpty():
-        again = cut(verify(next_signatures(crowded.select("key", F.col("a").alias("fp"), "free"), most), most, most_in_bucket), "links")
-        found, crowded = found.unionByName(again.where("key is null")), again.where("key is not null")
+    if not crowded.isEmpty():
+        pairs = pairs_of_chunks(crowded.select("key", F.col("a").alias("fp")), most_in_bucket)
+        # a hash cuts the chunks: none is several times the mean
+        found = found.unionByName(cut(verify(pairs, most, 64 * most_in_bucket), "chunk-links"))
     return found.select("a", "b").distinct()
 
 
