@@ -135,7 +135,7 @@ def fit(counts: DataFrame, least: int = 4) -> Model:
         row_of[kept] = len(rows) + np.arange(len(kept))
         rows = np.concatenate([rows, np.where(total > 0, mine, below)])
     bits = -np.log2(np.maximum(rows, 1e-30))
-    return Model(languages, symbol, a, row_of.astype(np.int32), np.ascontiguousarray(bits.transpose(0, 2, 1).reshape(-1, langs), np.float32))
+    return Model(languages, symbol, a, row_of.astype(np.int32), np.ascontiguousarray(bits.transpose(0, 2, 1).reshape(len(rows) * a, langs), np.float32))
 
 
 def _judge(known: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -41,7 +41,7 @@ SIGNS = str.maketrans("013457@$!|", "oieastasil")
 FEATURES = ("fixed_density", "learned_density", "fixed_hits", "learned_hits", "near_you", "you_density", "capitals", "exclaims", "punctuation", "hidden", "hidden_insults", "log_words")
 
 _words = re.compile(r"[^\W\d_]+").findall
-_hidden = re.compile(r"(?<!\w)[^\W\d_]+[0-9@$!|*]+[^\W\d_]+(?:[0-9@$!|*]+[^\W\d_]*)*").findall
+_hidden = re.compile(r"(?<!\w)[^\W\d_]+(?:[0-9@$!|*]+[^\W\d_]+)+").findall
 _signs = re.compile(r"[0-9@$!|*]").search
 _CAPITALS, _PUNCTUATION = bytes(range(65, 91)), b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
