@@ -2,6 +2,7 @@
 
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -11,15 +12,15 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from pyspark.sql import SparkSession
 
-    folder = tmp_path_factory.mktemp("spark")
+    folder = tempfile.mkdtemp(prefix="spark-")
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
