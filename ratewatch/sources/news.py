@@ -29,8 +29,9 @@ def _articles(rows: DataFrame, run_ts: Column, feed_rank: int, when: str) -> Dat
     )
 
 
-def _errors(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("_corrupt_record").isNotNull()).select(F.col("file").alias("series_id"), F.lit("news").alias("stage"), F.lit("unreadable file").alias("message"))
+def _errors(rows: DataFrame, data: str) -> DataFrame:
+    """Files that can't be read. The data column is named too, as Spark won't read the corrupt record alone."""
+    return rows.where(F.col("_corrupt_record").isNotNull() & F.col(data).isNull()).select(F.col("file").alias("series_id"), F.lit("news").alias("stage"), F.lit("unreadable file").alias("message"))
 
 
 def read_rss(spark: SparkSession, path: str, run_ts: Column, feed_rank: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -41,7 +42,7 @@ def read_rss(spark: SparkSession, path: str, run_ts: Column, feed_rank: int = 0)
     rows = spark.read.format("xml").schema(_CHANNEL).options(rowTag="channel", mode="PERMISSIVE").load(path).withColumn("file", F.col("_metadata.file_path"))
     items = rows.where(F.col("_corrupt_record").isNull()).select("file", F.col("title").alias("channel"), F.posexplode("item").alias("entry_seq", "i"))
     flat = items.select(F.col("i.link").alias("url"), F.col("i.title").alias("title"), F.col("i.description").alias("summary"), F.col("i.pubDate").alias("when"), F.coalesce("channel", "file").alias("source"), "entry_seq")
-    return _articles(flat, run_ts, feed_rank, "when"), _errors(rows)
+    return _articles(flat, run_ts, feed_rank, "when"), _errors(rows, "item")
 
 
 def read_news_json(spark: SparkSession, path: str, run_ts: Column, feed_rank: int = 1_000, unnamed: str = "NewsAPI") -> tuple[DataFrame, DataFrame]:
@@ -49,4 +50,4 @@ def read_news_json(spark: SparkSession, path: str, run_ts: Column, feed_rank: in
     rows = spark.read.schema(_ANSWER).json(path, multiLine=True, mode="PERMISSIVE").withColumn("file", F.col("_metadata.file_path"))
     items = rows.where(F.col("_corrupt_record").isNull()).select(F.posexplode("articles").alias("entry_seq", "a"))
     flat = items.select(F.col("a.url").alias("url"), F.col("a.title").alias("title"), F.col("a.description").alias("summary"), F.col("a.publishedAt").alias("when"), F.coalesce("a.source.name", F.lit(unnamed)).alias("source"), "entry_seq")
-    return _articles(flat, run_ts, feed_rank, "when"), _errors(rows)
+    return _articles(flat, run_ts, feed_rank, "when"), _errors(rows, "articles")
