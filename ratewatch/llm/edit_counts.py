@@ -14,7 +14,7 @@ ordinary text here.
 
 from __future__ import annotations
 
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ class TokenTree:
         self._build(pieces)
 
     def _build(self, pieces: list[str]) -> None:
+        self.touched: set[int] = set()  # leaves whose tokens are still to be counted
         self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
         sums = np.array([self._sum(x) for x in self.leaves], np.int64)
         self.levels = [sums]  # (characters, tokens) of each node; the last level is the root
@@ -39,8 +40,10 @@ class TokenTree:
             self.levels.append(sums)
 
     def _sum(self, pieces: list[str]) -> tuple[int, int]:
-        known = self.encoder.pieces
-        return sum(map(len, pieces)), sum(len(known[p]) for p in pieces) // 4
+        return sum(map(len, pieces)), self._count(pieces)
+
+    def _count(self, pieces: list[str]) -> int:
+        return sum(map(len, map(self.encoder.pieces.__getitem__, pieces))) // 4
 
     @property
     def chars(self) -> int:
@@ -48,8 +51,23 @@ class TokenTree:
 
     @property
     def tokens(self) -> int:
+        self.settle()
         return int(self.levels[-1][0, 1])
 
+    def unknown(self) -> set[str]:
+        """Pre-tokens that came with edits and that the encoder has to learn."""
+        known = self.encoder.pieces
+        return {p for i in self.touched for p in self.leaves[i] if p not in known}
+
+    def settle(self) -> None:
+        """Count the tokens of touched leaves and bring their sums up to the root."""
+        if self.touched:
+            if missing := self.unknown():
+                self.encoder.learn(list(missing))
+            for leaf in self.touched:
+                self._set(leaf, 1, self._count(self.leaves[leaf]))
+            self.touched = set()
+
     def text(self) -> str:
         return "".join(chain.from_iterable(self.leaves))
 
@@ -80,10 +98,10 @@ class TokenTree:
                 return leaf, len(self.leaves[leaf]) - 1
         return None
 
-    def _update(self, leaf: int) -> None:
-        change = np.array(self._sum(self.leaves[leaf]), np.int64) - self.levels[0][leaf]
+    def _set(self, leaf: int, column: int, value: int) -> None:
+        change = value - int(self.levels[0][leaf, column])
         for level in self.levels:
-            level[leaf] += change
+            level[leaf, column] += change
             leaf //= FAN
 
     def edit(self, start: int, stop: int, new: str) -> int:
@@ -116,9 +134,6 @@ class TokenTree:
                 break
             ahead *= 4
         kept = pieces if hit is None else pieces[: hit + 1]
-        missing = [p for p in set(kept) if p not in self.encoder.pieces]
-        if missing:
-            self.encoder.learn(missing)
         to_leaf, to_piece = (len(self.leaves) - 1, len(self.leaves[-1])) if hit is None else old_borders[borders[hit]]
         if leaf == to_leaf:
             self.leaves[leaf] = self.leaves[leaf][:piece] + kept + self.leaves[leaf][to_piece:]
@@ -128,8 +143,10 @@ class TokenTree:
                 self.leaves[i] = []
             self.leaves[to_leaf] = self.leaves[to_leaf][to_piece:]
         for i in range(leaf, to_leaf + 1):
-            self._update(i)
+            self._set(i, 0, sum(map(len, self.leaves[i])))
+            self.touched.add(i)
         if len(self.leaves[leaf]) > 16 * LEAF:
+            self.settle()
             self._build(list(chain.from_iterable(self.leaves)))
         return sum(map(len, kept))
 
@@ -176,15 +193,14 @@ def count_edits(docs: DataFrame, vocabulary_path: str, key: str = "doc_id", text
             for part, texts in bpe.text_slices(batch, chars=500_000):
                 encoder.trim()
                 split = [encoder.pre_tokens(t) for t in texts]
-                if missing := set(chain.from_iterable(split)) - encoder.pieces.keys():
+                if missing := set(filterfalse(encoder.pieces.__contains__, chain.from_iterable(split))):
+                    encoder.learn(list(missing))
+                trees = [TokenTree(pieces, encoder) for pieces in split]
+                before = [tree.tokens for tree in trees]
+                again = [sum(tree.edit(c["start"], c["stop"], c["text"]) for c in changes or [] if c and None not in (c["start"], c["stop"], c["text"])) for tree, changes in zip(trees, part.column("edits").to_pylist())]
+                if missing := set().union(*(tree.unknown() for tree in trees)):  # the edits' new words, learned together
                     encoder.learn(list(missing))
-                before, after, edited, again = [], [], [], []
-                for pieces, changes in zip(split, part.column("edits").to_pylist()):
-                    tree = TokenTree(pieces, encoder)
-                    before.append(tree.tokens)
-                    again.append(sum(tree.edit(c["start"], c["stop"], c["text"]) for c in changes or [] if c and None not in (c["start"], c["stop"], c["text"])))
-                    after.append(tree.tokens)
-                    edited.append(tree.text())
+                after, edited = [tree.tokens for tree in trees], [tree.text() for tree in trees]
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(before, pa.int64()), pa.array(edited, pa.string()), pa.array(after, pa.int64()), pa.array(again, pa.int64())], ["key", "n_tokens", "edited_text", "edited_tokens", "encoded_again"])
 
     return docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[edits].alias("edits")).mapInArrow(run, f"key {kind}, n_tokens long, edited_text string, edited_tokens long, encoded_again long").withColumnRenamed("key", key)
