@@ -60,11 +60,14 @@ def trend_forecast(days: np.ndarray, y: np.ndarray, future: np.ndarray, holidays
 def _residuals(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
     """Of an ARMA model, given zeros before the start. Each row of ``ar`` and ``ma`` is one set of parameters."""
     p, q, n = ar.shape[1], ma.shape[1], len(w)
-    e = np.zeros((len(ar), n + q))
+    own = np.repeat(w[None], len(ar), axis=0)
+    for k in range(1, p + 1):
+        own[:, k:] -= ar[:, k - 1 : k] * w[:-k]
+    e = np.zeros((n + q, len(ar)))
+    own, weights = np.ascontiguousarray(own.T), ma.T[::-1].copy()  # the oldest noise first
     for i in range(n):
-        past = w[max(0, i - p) : i][::-1]
-        e[:, i + q] = w[i] - ar[:, : len(past)] @ past - (ma * e[:, i : i + q][:, ::-1]).sum(axis=1)
-    return e[:, q:]
+        e[i + q] = own[i] - (weights * e[i : i + q]).sum(axis=0)
+    return e[q:].T
 
 
 def _stable(coefficients: np.ndarray) -> bool:
@@ -94,24 +97,23 @@ def _arima_once(y: np.ndarray, h: int, order: tuple[int, int, int], z: float, st
             break
         theta = theta * 0.9
     tiny, damp = 1e-5, 1e-3
-    best = None
     for _ in range(steps):
         trial = np.concatenate([theta[None], theta + tiny * np.eye(p + q)])
         r = _residuals(w, trial[:, :p], trial[:, p:])
         loss = float(r[0] @ r[0])
         j = (r[1:] - r[0]).T / tiny
-        best = (loss, theta) if best is None or loss < best[0] else best
         move = -np.linalg.solve(j.T @ j + damp * np.eye(p + q) * len(w), j.T @ r[0])
-        size_of = 1.0
-        while size_of > 1e-3:
-            tried = theta + size_of * move
-            if _stable(tried[:p]) and _stable(-tried[p:]):
-                rr = _residuals(w, tried[None, :p], tried[None, p:])[0]
-                if float(rr @ rr) < loss:
-                    break
-            size_of /= 2
-        else:
+        halves = 0.5 ** np.arange(10)  # all step lengths at once
+        tries = theta + halves[:, None] * move
+        fit = np.array([_stable(t[:p]) and _stable(-t[p:]) for t in tries])
+        if not fit.any():
             break
+        losses = np.full(len(tries), np.inf)
+        losses[fit] = (_residuals(w, tries[fit][:, :p], tries[fit][:, p:]) ** 2).sum(axis=1)
+        better = np.flatnonzero(losses < loss)
+        if not len(better):
+            break
+        tried, size_of = tries[better[0]], halves[better[0]]
         theta = tried
         if np.abs(size_of * move).max() < 1e-6:
             break
