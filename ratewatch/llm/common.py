@@ -14,16 +14,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_TABLE = str.maketrans(UPPER, LOWER)
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; in local mode, where it may be unset, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
+    """The folder in ``spark.checkpoint.dir``; in local mode, where it may be unset, one temporary folder."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='ratewatch-')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _own_folder:
+        _own_folder.append(f"file://{tempfile.mkdtemp(prefix='spark-ratewatch-')}")
+    return _own_folder[0]
 
 
 def cut(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
