@@ -34,14 +34,12 @@ def _unit(bits: Column, width: int) -> Column:
 
 
 def _draw(term: Column, sample: Column, log_w: Column) -> Column:
-    """ln a and the sample's 16 bits in one long that orders as ln a does; null if log_w is null."""
+    """ln a as a long; null if log_w is null. It tells (s, t) apart as well: no two of them have the same ln a."""
     h1, h2 = F.xxhash64(term, sample), F.xxhash64(sample, term)
     r = -F.ln(_unit(F.shiftrightunsigned(h1, 40), 24) * _unit(F.shiftrightunsigned(h1, 16), 24))
     log_c = F.ln(-F.ln(_unit(F.shiftrightunsigned(h2, 42), 22) * _unit(F.shiftrightunsigned(h2, 20), 22)))
     beta = _unit(h2, 20)
-    t = F.floor(log_w / r + beta)
-    log_a = log_c - r * (t - beta) - r
-    return F.shiftleft(F.floor(log_a * float(1 << 32)), 16).bitwiseOR(F.xxhash64(h1, t).bitwiseAND(F.lit(0xFFFF)))
+    return F.floor((log_c - r * (F.floor(log_w / r + beta) - beta + 1)) * float(1 << 40))
 
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -102,11 +100,11 @@ def fingerprint_pairs(parts: DataFrame, samples: int = SAMPLES) -> DataFrame:
     least = terms.groupBy(*_KEY, "side").agg(*[F.min(_draw(F.col("term"), F.lit(j), F.col("log_w"))).alias(f"a{j}") for j in range(samples)])
     sides = least.select(*_KEY, "side", F.array(*[f"a{j}" for j in range(samples)]).alias("a"))
     both = sides.groupBy(*_KEY).agg(*[F.max(F.when(F.col("side") == i, F.col("a"))).alias(f"s{i}") for i in range(3)])
-    digits = lambda v: F.lower(F.lpad(F.hex(v.bitwiseAND(F.lit(0xFFFF))), 4, "0"))
+    digits = lambda v: F.lower(F.lpad(F.hex(F.xxhash64(v).bitwiseAND(F.lit(0xFFFF))), 4, "0"))
     # an absent side counts for nothing: least() passes over nulls
     version = lambda i: F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.least(F.get(F.col("s0"), k), F.get(F.col(f"s{i}"), k)))
     pairs = both.select(*_KEY, version(1).alias("a"), version(2).alias("b"))
-    spell = lambda c: F.array_join(F.transform(c, lambda v: F.coalesce(digits(v), F.lit("ffff"))), "")
+    spell = lambda c: F.array_join(F.transform(c, lambda v: F.when(v.isNull(), "ffff").otherwise(digits(v))), "")
     return pairs.select(*_KEY, spell("a").alias("fp"), spell("b").alias("edited_fp"))
 
 
@@ -126,7 +124,7 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, key: str = "d
     digests = parts.select(*_KEY, F.sha2(F.concat("keep", "other").cast("binary"), 256).alias("edited_sha256"))
     found = digests.join(fingerprint_pairs(parts, samples), _KEY, "left")
     # written before they are compared: else each of the many comparisons would spell both fingerprints anew
-    fps = cut(found.select(*_KEY, "edited_sha256", F.coalesce("fp", F.lit(none)).alias("fp"), F.coalesce("edited_fp", F.lit(none)).alias("edited_fp")), "cws")
+    fps = cut(found.select(*_KEY, "edited_sha256", F.coalesce("fp", F.lit(none)).alias("fp"), F.coalesce("edited_fp", F.lit(none)).alias("edited_fp")), "cws", "zstd")
     following = fps.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("fp").alias("next_fp"))
     near = lambda other: likeness(F.col("fp"), F.col(other), samples)
     out = order.join(fps, _KEY).join(following, ["next_id", "next_th"]).withColumns({"near_edited": near("edited_fp"), "near_next": near("next_fp")})
