@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed value: the white space that separates words (space and tab to carriage return).
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
@@ -39,3 +40,22 @@ def cut(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def keep_rows(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs``, with all its columns, for each component of ``found (key, text_hash, component)``.
+
+    That is the row with the smallest key, nulls last, then the smallest hash of its text (``xxhash64``). Rows alike in
+    both are one, whatever else they hold.
+    """
+    rows = found.select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash"), "component")
+    same = rows.groupBy("component", "__key", "__hash").agg(F.count("*").alias("__rows"))
+    first = same.groupBy("component").agg(F.min(F.struct(F.isnull("__key").alias("none"), "__key", "__hash", "__rows")).alias("x"))
+    chosen = cut(first.select("x.__key", "x.__hash", "x.__rows"), "chosen")
+    hashed = docs.withColumn("__text_hash", F.xxhash64(docs[text]))
+    matched = hashed[key].eqNullSafe(F.col("__key")) & (F.col("__text_hash") == F.col("__hash"))
+    once = hashed.join(chosen.where("__rows = 1"), matched, "left_semi").select(*docs.columns)
+    twice = chosen.where("__rows > 1")
+    if twice.isEmpty():
+        return once
+    return once.unionByName(hashed.join(twice, matched, "left_semi").dropDuplicates([key, "__text_hash"]).select(*docs.columns))

@@ -37,16 +37,26 @@ _ONE = np.uint64(1)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def line_of(text: str | None) -> bytes:
+    """The words of a text in lower case, with a space between them."""
+    return b" ".join((text or "").encode("utf-8", "replace").translate(_TO_LOWER).split())
+
+
+def shingle_hashes(line: bytes, words: int) -> np.ndarray:
+    """The hash of each shingle, in order; a line with fewer words is one shingle, and an empty one has none."""
+    if not line:
+        return np.empty(0, np.uint64)
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    starts, ends = [0, *(spaces + 1).tolist()], [*spaces.tolist(), len(line)]
+    k, digest = min(words, len(starts)), xxhash.xxh64_intdigest
+    return np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts, ends[k - 1 :])), np.uint64, len(starts) - k + 1)
+
+
 def fingerprint(text: str | None, words: int) -> int:
     """64 bits; one is set if more than half of the shingles' hashes have it."""
-    found = (text or "").encode("utf-8", "replace").translate(_TO_LOWER).split()
-    if not found:
+    hashes = shingle_hashes(line_of(text), words)
+    if not len(hashes):
         return 0
-    line = b" ".join(found)
-    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    starts, ends = [0, *(spaces + 1).tolist()], [*spaces.tolist(), len(line)]
-    k, digest = min(words, len(found)), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts, ends[k - 1 :])), np.uint64, len(found) - k + 1)
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 4096):
         counts += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
