@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewatch.llm.common import LOWER, UPPER, cut
+from ratewatch.llm.common import LOWER, UPPER, cut, keep_rows
 from ratewatch.llm.components import components
 
 BITS = 64
@@ -63,16 +63,17 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``fp`` (the 64 bits as a signed long) of each row."""
+def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text", keep: list[str] = []) -> DataFrame:
+    """``key`` and ``fp`` (the 64 bits as a signed long) of each row, then the columns ``keep``."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fps.view(np.int64))], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fps.view(np.int64)), *(batch.column(c) for c in keep)], ["key", "fp", *keep])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
+    fields = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), *(docs[c] for c in keep))
+    return rows.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, fp long{fields}").withColumnRenamed("key", key)
 
 
 # -- the plan
@@ -300,27 +301,28 @@ def links(fps: DataFrame, most: int = 3, most_in_bucket: int = 4096) -> DataFram
     return found.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, most: int = 3, words: int = 3, most_in_bucket: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, fp, component_id`` of each row; component_id: the smallest key that links can reach, its own included."""
-    rows = cut(fingerprints(docs, words, key, text), "fingerprints")
+def _grouped(rows: DataFrame, most: int, most_in_bucket: int, key: str) -> DataFrame:
+    """``fp, component_id`` and ``root`` (a fingerprint of the component, so never null) of each distinct fingerprint."""
     distinct = cut(rows.groupBy("fp").agg(F.min(key).alias("least")), "distinct-fingerprints")
     groups = components(links(distinct, most, most_in_bucket))
     linked = groups.join(distinct, F.col("node") == F.col("fp")).select("root", "fp", "least")
     by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = linked.join(by_root, "root").select("fp", "component_id")
-    every = distinct.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(every, "fp").select(key, "fp", "component_id")
+    ids = linked.join(by_root, "root").select("fp", "component_id", "root")
+    return distinct.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, most: int = 3, words: int = 3, most_in_bucket: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, fp, component_id`` of each row; component_id: the smallest key that links can reach, its own included."""
+    rows = cut(fingerprints(docs, words, key, text), "fingerprints")
+    return rows.join(_grouped(rows, most, most_in_bucket, key), "fp").select(key, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, most: int = 3, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows, with all their columns, of one document of each component: that with the smallest key.
+    """One row, with all its columns, of each component: by the smallest key, nulls last, then the hash of its text.
 
-    Rows that repeat a key are one document. Rows with a null key can't be told apart, and stay.
+    Rows are chosen one by one: a key that repeats with other texts, or is null, says nothing about copies.
     """
-    found = cut(near_duplicates(docs, most, words, key=key, text=text), "near-duplicates")
-    copies = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    kept = docs.join(copies, key, "left_anti").select(*docs.columns)
-    twice = found.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").select(key)
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, key, "left_anti").select(*docs.columns).unionByName(kept.join(twice, key, "left_semi").dropDuplicates([key]).select(*docs.columns))
+    hashed = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_hash"))
+    rows = cut(fingerprints(hashed, words, "key", "text", ["text_hash"]), "fingerprints")
+    found = rows.join(_grouped(rows, most, 4096, "key"), "fp")
+    return keep_rows(docs, found.select(F.col("key").alias(key), "text_hash", F.col("root").alias("component")), key, text)

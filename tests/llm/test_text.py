@@ -132,6 +132,14 @@ def test_keep_one(odd, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    rnd = random.Random(3)
+    a, b, c, d, e = (" ".join(f"w{rnd.randrange(5000)}" for _ in range(80)) for _ in range(5))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (None, e), (None, e), (None, c)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(1, a), (2, b), (3, c), (3, d), (None, e)} and kept.count() == 5
+
+
 def test_simhash_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     fps = {r.doc_id: plain_fingerprint(r.text) for r in docs}
