@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,20 +46,56 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def keep_rows(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs``, with all its columns, for each component of ``found (key, text_hash, component)``.
+def drop(df: DataFrame) -> None:
+    """Remove what ``cut`` wrote, once something later has been written that no longer needs it."""
+    jvm, files = df.sparkSession._jvm, df.inputFiles()
+    if files:
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
-    That is the row with the smallest key, nulls last, then the smallest hash of its text (``xxhash64``). Rows alike in
-    both are one, whatever else they hold.
+
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows with the columns named c0, c1, ..., and the new name of each: dots and clashes can't do harm then."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of a batch with about so many bytes of text (or binary), of which few are Python objects then; null counts as empty."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64).cumsum()
+    empty = b"" if pa.types.is_binary(batch.column(column).type) else ""
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + chars)))
+        part = batch.slice(at, end - at)
+        yield part, [t or empty for t in part.column(column).to_pylist()]
+        at = end
+
+
+def keep_first(docs: DataFrame, first: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``first (key, hash, rows)`` names: by key and ``xxhash64`` of the text.
+
+    Where ``rows`` says that several rows are alike in both, one of them stays.
     """
-    rows = found.select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash"), "component")
-    same = rows.groupBy("component", "__key", "__hash").agg(F.count("*").alias("__rows"))
-    first = same.groupBy("component").agg(F.min(F.struct(F.isnull("__key").alias("none"), "__key", "__hash", "__rows")).alias("x"))
-    chosen = cut(first.select("x.__key", "x.__hash", "x.__rows"), "chosen")
-    hashed = docs.withColumn("__text_hash", F.xxhash64(docs[text]))
-    matched = hashed[key].eqNullSafe(F.col("__key")) & (F.col("__text_hash") == F.col("__hash"))
-    once = hashed.join(chosen.where("__rows = 1"), matched, "left_semi").select(*docs.columns)
+    plain, names = plain_names(docs)
+    chosen = cut(first.select(F.col("key").alias("__key"), F.col("hash").alias("__hash"), F.col("rows").alias("__rows")), "chosen")
+    hashed = plain.withColumn("__text_hash", F.xxhash64(names[text]))
+    matched = hashed[names[key]].eqNullSafe(F.col("__key")) & (F.col("__text_hash") == F.col("__hash"))
+    kept = hashed.join(chosen.where("__rows = 1"), matched, "left_semi").select(*plain.columns)
     twice = chosen.where("__rows > 1")
-    if twice.isEmpty():
-        return once
-    return once.unionByName(hashed.join(twice, matched, "left_semi").dropDuplicates([key, "__text_hash"]).select(*docs.columns))
+    if not twice.isEmpty():
+        kept = kept.unionByName(hashed.join(twice, matched, "left_semi").dropDuplicates([names[key], "__text_hash"]).select(*plain.columns))
+    return kept.toDF(*docs.columns)
+
+
+def first_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``key, hash, rows`` of the first row of each component: the smallest key, nulls last, then the smallest hash.
+
+    ``rows (key, hash, node)`` are folded by node before they meet ``groups (node, root)``, so that a node with very many
+    copies is one row there.
+    """
+    same = rows.groupBy("node", "key", "hash").agg(F.count("*").alias("rows"))
+    least = lambda: F.min(F.struct(F.isnull("key").alias("none"), "key", "hash", "rows"))
+    by_node = same.groupBy("node").agg(least().alias("x"))
+    joined = by_node.join(groups, "node", "left").select(F.coalesce("root", "node").alias("root"), "x.*")
+    return joined.groupBy("root").agg(least().alias("x")).select("x.key", "x.hash", "x.rows")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewatch.llm.common import cut
+from ratewatch.llm.common import cut, drop
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -22,18 +22,24 @@ def edges_of(df: DataFrame) -> DataFrame:
     return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars already: each ``a`` has one ``b``, which has none itself."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    sums = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return sums.where("up > 1 or up + down > 1").isEmpty()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of the edges ``(a, b)``; root is the smallest node that it can reach.
 
     Each round is a few joins and aggregates on nodes and its result is written, so that lineage stays short.
     """
-    edges, before = cut(edges_of(edges), "edges"), None
+    edges = cut(edges_of(edges), "edges")
     for _ in range(most_rounds):
-        edges = cut(_stars(edges), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        if _settled(edges):
             break
-        before = now
+        last, edges = edges, cut(_stars(edges), "stars")
+        drop(last)
     else:
         raise RuntimeError(f"no end after {most_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

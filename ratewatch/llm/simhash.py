@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewatch.llm.common import LOWER, UPPER, cut, keep_rows
+from ratewatch.llm.common import LOWER, UPPER, cut, first_rows, keep_first, text_slices
 from ratewatch.llm.components import components
 
 BITS = 64
@@ -68,8 +68,9 @@ def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fps.view(np.int64)), *(batch.column(c) for c in keep)], ["key", "fp", *keep])
+            for part, texts in text_slices(batch):
+                fps = np.array([fingerprint(t, words) for t in texts], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(fps.view(np.int64)), *(part.column(c) for c in keep)], ["key", "fp", *keep])
 
     fields = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), *(docs[c] for c in keep))
@@ -296,25 +297,39 @@ def links(fps: DataFrame, most: int = 3, most_in_bucket: int = 4096) -> DataFram
     found, crowded = checked.where("key is null"), checked.where("key is not null")
     if not crowded.isEmpty():
         pairs = pairs_of_chunks(crowded.select("key", F.col("a").alias("fp")), most_in_bucket)
-        # a hash cuts the chunks: none is several times the mean
-        found = found.unionByName(cut(verify(pairs, most, 64 * most_in_bucket), "chunk-links"))
+        # parts are cut by a hash to about half the bound, so two of them always fit and none is handed on
+        found = found.unionByName(cut(verify(pairs, most, 1 << 62), "chunk-links"))
     return found.select("a", "b").distinct()
 
 
 def _grouped(rows: DataFrame, most: int, most_in_bucket: int, key: str) -> DataFrame:
-    """``fp, component_id`` and ``root`` (a fingerprint of the component, so never null) of each distinct fingerprint."""
-    distinct = cut(rows.groupBy("fp").agg(F.min(key).alias("least")), "distinct-fingerprints")
+    """``fp, component_id``, ``root`` (a fingerprint of the component, so never null) and ``n`` (rows) of each fingerprint."""
+    distinct = cut(rows.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     groups = components(links(distinct, most, most_in_bucket))
     linked = groups.join(distinct, F.col("node") == F.col("fp")).select("root", "fp", "least")
     by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = linked.join(by_root, "root").select("fp", "component_id", "root")
-    return distinct.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return distinct.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"), "n")
+
+
+def with_groups(rows: DataFrame, grouped: DataFrame, hot_share: int = 1000) -> DataFrame:
+    """Rows with their fingerprint's ``component_id``.
+
+    A fingerprint that more than 1 in ``hot_share`` rows have is looked up where its rows are: there are fewer than
+    ``hot_share`` of these, whatever the input. Only the others are dealt out by fingerprint.
+    """
+    ids = cut(grouped.select("fp", "component_id", "n"), "groups-of-fingerprints")
+    total = ids.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(ids.where(F.col("n") * hot_share > total).select("fp", F.col("component_id").alias("id"), F.lit(True).alias("hot")))
+    marked = rows.join(often, "fp", "left")
+    rest = marked.where("hot is null").drop("id", "hot").join(ids.where(F.col("n") * hot_share <= total).drop("n"), "fp")
+    return rest.unionByName(marked.where("hot").withColumnRenamed("id", "component_id").select(*rest.columns))
 
 
 def near_duplicates(docs: DataFrame, most: int = 3, words: int = 3, most_in_bucket: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, fp, component_id`` of each row; component_id: the smallest key that links can reach, its own included."""
     rows = cut(fingerprints(docs, words, key, text), "fingerprints")
-    return rows.join(_grouped(rows, most, most_in_bucket, key), "fp").select(key, "fp", "component_id")
+    return with_groups(rows, _grouped(rows, most, most_in_bucket, key)).select(key, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, most: int = 3, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -322,7 +337,7 @@ def keep_one(docs: DataFrame, most: int = 3, words: int = 3, key: str = "doc_id"
 
     Rows are chosen one by one: a key that repeats with other texts, or is null, says nothing about copies.
     """
-    hashed = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_hash"))
-    rows = cut(fingerprints(hashed, words, "key", "text", ["text_hash"]), "fingerprints")
-    found = rows.join(_grouped(rows, most, 4096, "key"), "fp")
-    return keep_rows(docs, found.select(F.col("key").alias(key), "text_hash", F.col("root").alias("component")), key, text)
+    hashed = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("hash"))
+    rows = cut(fingerprints(hashed, words, "key", "text", ["hash"]), "fingerprints")
+    groups = _grouped(rows, most, 4096, "key").select(F.col("fp").alias("node"), "root")
+    return keep_first(docs, first_rows(rows.withColumnRenamed("fp", "node"), groups), key, text)
