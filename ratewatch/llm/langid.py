@@ -6,15 +6,16 @@ escape probability q / (t + q) is shared among the other bytes as the next short
 sum to one; below order 0 all 256 bytes are alike. So each language has an exact code length for every text, and the
 shortest wins. A context deeper than 1 is kept where it was seen ``least`` times or more.
 
-All predictions of the kept contexts are laid out in one table (contexts x bytes x languages), and texts are scored by
+All predictions of a language's kept contexts are laid out in one table (contexts x bytes), and texts are scored by
 looking up every byte of a batch at once. Contexts and bytes that no sample has fall back exactly, so the table is as
-good as the trees.
+good as the tree. Tables grow with the number of languages, a few MB each, not with the corpus.
 
-The trees are fit on at most ``per_language`` documents of each language, in order of a hash of their id; everything
-else covers all rows. A-Z are read as a-z.
+The trees are fit on about ``per_language`` different documents of each language, a share of them by a hash of id and
+text; everything else covers all rows. A-Z are read as a-z.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; if nothing can be learned, all are;
-ties go to the first language by name; repeated rows are scored alike; an empty table gives an empty table.
+ties go to the first language by name; repeated rows are scored alike, and learned from once; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -26,14 +27,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ratewatch.llm.common import LOWER, UPPER
+from ratewatch.llm.common import LOWER, UPPER, plain_names, text_slices
 
 UNKNOWN = "und"
 ORDER = 3
-#: Labelled documents of a language that its tree is fit on.
+#: Labelled documents of a language that its tree is fit on, about.
 PER_LANGUAGE = 300
+#: Bits a byte from which on a text is in no language (of clean texts 999 in 1000 need fewer than 4.1), and bits on top
+#: for each text, so that a few odd words don't decide about a short one.
+MOST_BITS, FREE_BITS = 5.0, 64.0
+#: Bytes that are looked up at a time.
+_PIECE = 1 << 19
 #: What a text is taken to follow.
 _BEFORE = b"\n" * ORDER
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -41,13 +46,16 @@ _has_letter = re.compile(r"[^\W\d_]").search
 
 
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``lang, text`` of at most so many documents of each language."""
-    named = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"))
-    first = named.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))).where(F.col("at") <= per_language)
-    chosen = first.select("key", "lang").distinct()
-    if chosen.count() <= 50_000:  # the bound times the number of languages
-        chosen = F.broadcast(chosen)
-    return labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(chosen, ["key", "lang"]).select("lang", "text")
+    """``lang, text`` of about so many different documents of each language.
+
+    Languages are counted, and then each keeps the rows whose hash is below its share: no row is dealt out by language.
+    """
+    named = labelled.select(labelled[key].alias("key"), labelled[text].alias("text"), labelled[lang].cast("string").alias("lang")).where("lang is not null and text is not null")
+    parts = 1 << 40
+    shares = named.groupBy("lang").agg((F.least(F.lit(1.0), per_language / F.count("*")) * parts).cast("long").alias("share"))
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), "key", "text"), F.lit(parts))
+    # a row for each language that labels name
+    return named.join(F.broadcast(shares), "lang").where(drawn < F.col("share")).dropDuplicates(["lang", "key", "text"]).select("lang", "text")
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
@@ -74,68 +82,92 @@ def _grams(text: bytes) -> np.ndarray:
     return out
 
 
+@dataclass
+class Tree:
+    """The predictions of one language. Contexts are found from the newest symbols back: two of them, then the oldest."""
+
+    pairs: np.ndarray  # node of each two symbols
+    rows: np.ndarray  # the table's row for each node and older symbol
+    bits: np.ndarray  # rows x symbols
+
+
 @dataclass
 class Model:
     languages: list[str]
     symbol: np.ndarray  # of each byte
     symbols: int
-    context: np.ndarray  # the table's row for each ORDER symbols
-    bits: np.ndarray  # (rows * symbols) x languages
+    trees: list[Tree]
+
+    def _pieces(self, x: np.ndarray):
+        """Bits of the symbols from number ORDER on, in each language, in pieces of bounded size."""
+        a = self.symbols
+        for at in range(ORDER, len(x), _PIECE):
+            end = min(len(x), at + _PIECE)
+            last = x[at - 2 : end - 2] * a + x[at - 1 : end - 1]
+            older, now = x[at - 3 : end - 3], x[at:end]
+            yield at - ORDER, np.stack([t.bits[t.rows[t.pairs[last] * a + older] * a + now] for t in self.trees])
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text in each language."""
         parts = [p for t in texts for p in (_BEFORE, t)]
         x = self.symbol[np.frombuffer(b"".join(parts).translate(_TO_LOWER), np.uint8)]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        ends = (lengths + ORDER).cumsum()
+        ends = (lengths + ORDER).cumsum() - ORDER  # in symbols that have a full context before them
+        begins = ends - lengths
         out = np.zeros((len(texts), len(self.languages)))
-        a = self.symbols
-        at = self.context[(x[: -ORDER] * a + x[1 : 1 - ORDER]) * a + x[2 : 2 - ORDER]] * a + x[ORDER:]
-        some = lengths > 0
-        if some.any():
-            edges = np.stack([ends - lengths - ORDER, ends - ORDER], axis=1)[some].ravel()
-            edges[-1] = min(edges[-1], len(at))
-            bits = self.bits[at]
-            bits = np.concatenate([bits, np.zeros((1, bits.shape[1]), bits.dtype)])
-            out[some] = np.add.reduceat(bits, edges, axis=0, dtype=np.float64)[::2]
+        for at, bits in self._pieces(x):
+            first, last = np.searchsorted(ends, at, side="right"), np.searchsorted(begins, at + bits.shape[1])
+            some = np.flatnonzero(lengths[first:last] > 0) + first
+            if len(some):
+                edges = np.clip(np.stack([begins[some], ends[some]], axis=1) - at, 0, bits.shape[1]).ravel()
+                padded = np.concatenate([bits, np.zeros((len(bits), 1), bits.dtype)], axis=1)
+                out[some] += np.add.reduceat(padded, edges, axis=1, dtype=np.float64)[:, ::2].T
         return out
 
 
-def fit(counts: DataFrame, least: int = 4) -> Model:
-    """The table of predictions. ``counts`` is bounded by the sample and comes to the driver."""
-    table = counts.toArrow()
-    names = table.column("lang").to_pylist()
-    gram, n = (np.asarray(table.column(c)).astype(np.int64) for c in ("gram", "n"))
-    languages = sorted(set(names))
-    number = {name: i for i, name in enumerate(languages)}
-    lang = np.fromiter((number[x] for x in names), np.int64, len(names))
-    seen = np.unique(np.concatenate([np.frombuffer(_BEFORE, np.uint8).astype(np.int64), gram & 255]))
-    symbol = np.full(256, len(seen), np.int64)  # the last symbol stands for each byte that no sample has
-    symbol[seen] = np.arange(len(seen))
-    a, langs = len(seen) + 1, len(languages)
+def _tree(gram: np.ndarray, n: np.ndarray, symbol: np.ndarray, a: int, least: int) -> Tree:
     letters = [symbol[(gram >> (8 * k)) & 255] for k in range(ORDER, -1, -1)]  # the oldest first
-    rows = np.full((1, langs, a), 1 / 256)  # below order 0
+    rows = np.full((1, a), 1 / 256)  # below order 0
     row_of = np.zeros(1, np.int64)
     for order in range(ORDER + 1):
-        shorter = a ** max(0, order - 1)
+        # a context's code: its newer symbols' node (two of them at most), then the oldest symbol
         code = np.zeros(len(n), np.int64)
-        for s in letters[ORDER - order : ORDER]:
+        for s in letters[ORDER - min(order, 2) : ORDER]:
             code = code * a + s
+        if order == ORDER:
+            pairs = row_of
+            code = pairs[code] * a + letters[0]
         contexts, at = np.unique(code, return_inverse=True)
         often = np.bincount(at, n, len(contexts)) >= (least if order > 1 else 0)
         kept, use = contexts[often], often[at]
-        count = np.zeros((len(kept), langs, a))
-        np.add.at(count, ((np.cumsum(often) - 1)[at[use]], lang[use], letters[ORDER][use]), n[use])
-        below = rows[row_of[kept % shorter]]
-        total, distinct = count.sum(axis=2, keepdims=True), (count > 0).sum(axis=2, keepdims=True)
-        left = 1 - np.where(count > 0, below, 0).sum(axis=2, keepdims=True)
+        count = np.zeros((len(kept), a))
+        np.add.at(count, ((np.cumsum(often) - 1)[at[use]], letters[ORDER][use]), n[use])
+        if order == ORDER:  # a kept context's newer symbols are kept too, so their node is their own row
+            shorter = np.arange(len(rows) * a) // a
+        else:
+            shorter = row_of[np.arange(a**order) % a ** max(0, order - 1)]
+        below = rows[shorter[kept]]
+        total, distinct = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
+        left = 1 - np.where(count > 0, below, 0).sum(axis=1, keepdims=True)
         escaped = distinct / np.maximum(total + distinct, 1) * below / np.maximum(left, 1e-12)
-        mine = np.where(count > 0, count / np.maximum(total + distinct, 1), escaped)
-        row_of = row_of[np.arange(a**order) % shorter]
+        row_of = shorter.copy()
         row_of[kept] = len(rows) + np.arange(len(kept))
-        rows = np.concatenate([rows, np.where(total > 0, mine, below)])
-    bits = -np.log2(np.maximum(rows, 1e-30))
-    return Model(languages, symbol, a, row_of.astype(np.int32), np.ascontiguousarray(bits.transpose(0, 2, 1).reshape(len(rows) * a, langs), np.float32))
+        rows = np.concatenate([rows, np.where(count > 0, count / np.maximum(total + distinct, 1), escaped)])
+    return Tree(pairs.astype(np.int32), row_of.astype(np.int32), -np.log2(np.maximum(rows, 1e-30)).ravel().astype(np.float32))
+
+
+def fit(counts: DataFrame, least: int = 4) -> Model:
+    """The tables of predictions. ``counts`` is bounded by the sample and comes to the driver."""
+    table = counts.toArrow()
+    names = table.column("lang").to_pylist()
+    gram, n = (np.asarray(table.column(c)).astype(np.int64) for c in ("gram", "n"))
+    languages = sorted(set(names))
+    number = {name: i for i, name in enumerate(languages)}
+    lang = np.fromiter((number[x] for x in names), np.int64, len(names))
+    seen = np.unique(np.concatenate([np.frombuffer(_BEFORE, np.uint8).astype(np.int64), gram & 255]))
+    symbol = np.full(256, len(seen), np.int64)  # the last symbol stands for each byte that no sample has
+    symbol[seen] = np.arange(len(seen))
+    return Model(languages, symbol, len(seen) + 1, [_tree(gram[lang == i], n[lang == i], symbol, len(seen) + 1, least) for i in range(len(languages))])
 
 
 def _judge(known: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -167,22 +199,35 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
     def run(batches):
         for batch in batches:
-            names, scores, rates = _judge(shipped.value, batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(names, pa.string()), pa.array(scores), pa.array(rates, from_pandas=True)], ["key", "lang_pred", "score", "bits_per_byte"])
+            for part, texts in text_slices(batch):
+                names, scores, rates = _judge(shipped.value, texts)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(names, pa.string()), pa.array(scores), pa.array(rates, from_pandas=True)], ["key", "lang_pred", "score", "bits_per_byte"])
 
     return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("key", key)
 
 
-def keep_known(docs: DataFrame, model: Model, most_bits: float = 8.0, text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text some learned language describes in fewer bits a byte than none would."""
+def keep_known(docs: DataFrame, model: Model, most_bits: float = MOST_BITS, free_bits: float = FREE_BITS, text: str = "text", lang: str | None = None) -> DataFrame:
+    """The rows, with all their columns, whose text is in a learned language.
+
+    Rejected are texts without a letter, and those whose shortest code, less ``free_bits``, takes more than ``most_bits``
+    a byte: keys, numbers, encoded data, or an alphabet that no sample has. ``lang`` names a column that is set to the
+    predicted language.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    plain, plainly = plain_names(docs)
+    at = None if lang is None else plain.columns.index(plainly[lang])
 
     def run(batches):
         for batch in batches:
-            names, _, rates = _judge(shipped.value, batch.column(text).to_pylist())
-            yield batch.filter(pa.array((np.array(names) != UNKNOWN) & (np.nan_to_num(rates, nan=np.inf) < most_bits)))
-
-    return docs.mapInArrow(run, docs.schema)
+            for part, texts in text_slices(batch, plainly[text]):
+                names, _, rates = _judge(shipped.value, texts)
+                sizes = np.fromiter((len(t.encode("utf-8", "replace")) for t in texts), np.int64, len(texts))
+                known = (np.array(names, object) != UNKNOWN) & (np.nan_to_num(rates, nan=np.inf) * sizes - free_bits <= most_bits * sizes)
+                if at is not None:
+                    part = part.set_column(at, part.schema.names[at], pa.array(names, part.schema.types[at]))
+                yield part.filter(pa.array(known))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def held_out(key: Column) -> Column:
