@@ -2,10 +2,13 @@
 
 Features of a whole text: how dense words of two lexicons are (a fixed one, and one learned from labels), how near the
 next second-person word is to such a word, shares of capitals and punctuation, how often words hide letters behind
-digits or signs, and length. The trees and the calibration are Spark ML models.
+digits or signs, and length. The learned lexicon has words, and heads of 4 to 8 letters that longer words begin with, for
+languages that build their insults. The trees and the calibration are Spark ML models.
 
 Labels are learned from a hash sample of about ``most_labels`` rows that are not held out, cut in three by another hash:
-the lexicon comes from the first part, the trees from the second, the calibration from the third. All texts are scored.
+the lexicon comes from the first part, the trees from the second, the calibration from the third. The learned lexicon has
+at most ``MOST_WORDS`` words and heads, those of most toxic texts: a size of the model, as the depth of its trees is. All texts are
+scored.
 
 Defined results: a null text counts as empty and is scored like an empty text; repeated rows are scored alike; labels
 that are null or have no document are not learned from, and rows with equal doc_ids each count; without labels of both
@@ -25,10 +28,12 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewatch.llm.common import cut
+from ratewatch.llm.common import cut, plain_names, text_slices
 
 #: Labelled rows that the models are fit on, about.
 MOST_LABELS = 24_000
+#: Words and heads of the learned lexicon, at most.
+MOST_WORDS = 300
 #: Common insults.
 INSULTS = frozenset(
     "idiot idiots moron morons stupid dumb fool fools loser losers trash garbage scum pathetic worthless disgusting clown jerk creep freak vermin liar ugly hate "
@@ -40,21 +45,42 @@ SECOND_PERSON = frozenset("you your yours yourself u ur tu tus te ti usted usted
 SIGNS = str.maketrans("013457@$!|", "oieastasil")
 FEATURES = ("fixed_density", "learned_density", "fixed_hits", "learned_hits", "near_you", "you_density", "capitals", "exclaims", "punctuation", "hidden", "hidden_insults", "log_words")
 
+#: Letters of the heads that the learned lexicon may have.
+HEADS = range(4, 9)
+
 _words = re.compile(r"[^\W\d_]+").findall
 _hidden = re.compile(r"(?<!\w)[^\W\d_]+(?:[0-9@$!|*]+[^\W\d_]+)+").findall
 _signs = re.compile(r"[0-9@$!|*]").search
 _CAPITALS, _PUNCTUATION = bytes(range(65, 91)), b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def features(text: str, learned: frozenset[str]) -> list[float]:
+def heads(word: str) -> list[str]:
+    """The heads of a word that has more letters than they; a plus sign tells them from words."""
+    return [word[:n] + "+" for n in HEADS if n < len(word)]
+
+
+class Kinds(dict):
+    """What each word is: 1 if it is in the fixed lexicon, 2 if in the learned one, 3 if in both. Bounded."""
+
+    def __init__(self, learned: frozenset[str]):
+        self.learned, self.by_head = learned, any(w.endswith("+") for w in learned)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        known = word in self.learned or self.by_head and not self.learned.isdisjoint(heads(word))
+        self[word] = kind = (word in INSULTS) + 2 * known
+        return kind
+
+
+def features(text: str, kinds: Kinds) -> list[float]:
     raw = text.encode("utf-8", "replace")
     lower = text.lower()
     words = _words(lower)
     n, size = max(1, len(words)), max(1, len(raw))
-    fixed = [i for i, w in enumerate(words) if w in INSULTS]
-    more = [i for i, w in enumerate(words) if w in learned]
+    found = np.fromiter(map(kinds.__getitem__, words), np.uint8, len(words))
+    fixed, more, hits = np.flatnonzero(found & 1), np.flatnonzero(found & 2), np.flatnonzero(found)
     second = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON])
-    hits = np.array(sorted({*fixed, *more}))
     near = 0.0
     if len(hits) and len(second):
         at = np.searchsorted(second, hits)
@@ -73,7 +99,7 @@ def features(text: str, learned: frozenset[str]) -> list[float]:
         raw.count(b"!") / size,
         (size - len(raw.translate(None, _PUNCTUATION))) / size,
         len(hidden) / n,
-        float(sum(p in INSULTS or p in learned for p in plain)),
+        float(sum(kinds[p] > 0 for p in plain)),
         float(np.log1p(len(words))),
     ]
 
@@ -84,20 +110,23 @@ def featurize(rows: DataFrame, learned: frozenset[str], keep: list[str], text: s
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
+        kinds = Kinds(shipped.value)
         for batch in batches:
-            x = pa.array([features(t or "", shipped.value) for t in batch.column("__text").to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), x], [*keep, "x"])
+            for part, texts in text_slices(batch, "__text"):
+                x = pa.array([features(t, kinds) for t in texts], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), x], [*keep, "x"])
 
     return rows.select(*keep, rows[text].alias("__text")).mapInArrow(run, f"{fields}, x array<double>")
 
 
-def learn_lexicon(labelled: DataFrame, least_docs: int = 8, least_share: float = 0.01, least_precision: float = 0.8, most_words: int = 300) -> frozenset[str]:
-    """Words that stand mostly in toxic texts, by the number of texts that have them (``text, toxic``)."""
+def learn_lexicon(labelled: DataFrame, least_docs: int = 5, least_share: float = 0.005, least_precision: float = 0.9, most_words: int = MOST_WORDS) -> frozenset[str]:
+    """Words and heads that stand mostly in toxic texts, by the number of texts that have them (``text, toxic``)."""
 
     def run(batches):
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                found = list(set(_words((text or "").lower())))
+                words = set(_words((text or "").lower()))
+                found = list(words.union(*map(heads, words)))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic] * len(found), pa.int64())], ["word", "toxic"])
 
     each = labelled.dropDuplicates(["text"]).select("text", F.col("toxic").cast("long").alias("toxic"))
@@ -136,32 +165,29 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, key:
     return Model(lexicon, trees, calibration, float(share))
 
 
-def with_score(rows: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
-    """All columns of the rows, and their score in one more."""
-    names = {c: f"in{i}" for i, c in enumerate(rows.columns)}  # no name can clash with the models' columns
-    plain = rows.toDF(*names.values())
-    found = featurize(plain, model.lexicon, plain.columns, names[text])
+def _judged(rows: DataFrame, model: Model, keep: list[str], text: str) -> DataFrame:
+    """The columns ``keep`` (named by ``plain_names``, so that none clashes with the models' columns) and ``judged``."""
+    found = featurize(rows, model.lexicon, keep, text)
     if model.trees is None:
-        found = found.withColumn("raw", F.lit(model.share))
-    else:
-        found = model.trees.transform(found.withColumn("features", array_to_vector("x"))).withColumn("raw", vector_to_array("probability")[1]).select(*plain.columns, "raw")
-        if model.calibration is not None:
-            model.calibration.setPredictionCol("step")
-            # the raw score settles ties of the steps, by a hair
-            found = model.calibration.transform(found).withColumn("raw", F.col("step") * 0.999 + F.col("raw") * 0.001)
-    return found.select(*[F.col(n).alias(c) for c, n in names.items()], F.greatest(F.lit(0.0), F.least(F.lit(1.0), "raw")).alias(column))
+        return found.select(*keep, F.lit(model.share).alias("judged"))
+    found = model.trees.transform(found.withColumn("features", array_to_vector("x"))).select(*keep, vector_to_array("probability")[1].alias("raw"))
+    if model.calibration is not None:
+        model.calibration.setPredictionCol("step")
+        # the raw score settles ties of the steps, by a hair
+        found = model.calibration.transform(found).withColumn("raw", F.col("step") * 0.999 + F.col("raw") * 0.001)
+    return found.select(*keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "raw")).alias("judged"))
+
+
+def keep_clean(docs: DataFrame, model: Model, below: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is below ``below``."""
+    plain, names = plain_names(docs)
+    return _judged(plain, model, plain.columns, names[text]).where(F.col("judged") < below).select(*plain.columns).toDF(*docs.columns)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, score`` of each row; the text goes no further than the features."""
-    rows = featurize(docs.select(docs[key].alias("key"), docs[text].alias("text")), model.lexicon, ["key"])
-    if model.trees is None:
-        return rows.select(F.col("key").alias(key), F.lit(model.share).alias("score"))
-    judged = model.trees.transform(rows.select("key", array_to_vector("x").alias("features"))).select("key", vector_to_array("probability")[1].alias("raw"))
-    if model.calibration is not None:
-        model.calibration.setPredictionCol("step")
-        judged = model.calibration.transform(judged).withColumn("raw", F.col("step") * 0.999 + F.col("raw") * 0.001)
-    return judged.select(F.col("key").alias(key), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "raw")).alias("score"))
+    rows = docs.select(docs[key].alias("c0"), docs[text].alias("c1"))
+    return _judged(rows, model, ["c0"], "c1").toDF(key, "score")
 
 
 def held_out(key: Column) -> Column:
