@@ -11,7 +11,10 @@ unknown word. A context that training never saw passes straight on to the shorte
 The model never sits in one place. Documents are read once into blocks: the distinct words of some million tokens and the
 tokens as numbers into them. A block asks for what it needs, each distinct n-gram or context once, at the bucket of the
 key's leading bits, and gets its answers back, in the order of its sorted keys. Buckets hold a bounded share each, as their
-number follows the input. Keys are hashes of n-grams; a bucket's number and 48 more bits tell them apart.
+number follows the input without a limit. A question is a row for each block and bucket: their number grows with the square
+of the input while their bytes grow with it, so blocks have to grow, too, for corpora of some 100 billion tokens and more.
+Keys are hashes of n-grams; a bucket's number and 40 more bits tell them apart (of the two million keys of a bucket one in
+500,000 shares its bits with another). Backoff weights travel with ten digits.
 
 Defined results: a null text counts as empty and has one token, its end; a null doc_id is not held out; repeated rows are
 scored each, and count in training each; without training text every probability is 1; an empty table gives an empty table.
@@ -29,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewatch.llm.common import LOWER, UPPER, cut
+from ratewatch.llm.common import LOWER, UPPER, cut, text_slices
 
 #: Tokens of a block, about.
 BLOCK_TOKENS = 1_500_000
@@ -68,7 +71,7 @@ class _Numbers(dict):
 # -- blocks
 
 
-BLOCK = "block long, keys array<{kind}>, train binary, lengths binary, words binary, tokens binary"
+BLOCK = "block long, trained long, keys array<{kind}>, train binary, lengths binary, words binary, tokens binary"
 
 
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", train: Column | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -89,19 +92,20 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", train: Colu
             order = np.argsort(-uses, kind="stable")  # frequent words get small numbers, which compress well
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order), dtype=np.int32)
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([keys], pa.list_(kind_of)), *(pa.array([x], pa.binary()) for x in (np.array(trains, np.uint8).tobytes(), squeeze(lengths), squeeze(hashes[order]), squeeze(rank[flat])))], ["block", "keys", "train", "lengths", "words", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sum(trains)], pa.int64()), pa.array([keys], pa.list_(kind_of)), *(pa.array([x], pa.binary()) for x in (np.array(trains, np.uint8).tobytes(), squeeze(lengths), squeeze(hashes[order]), squeeze(rank[flat])))], ["block", "trained", "keys", "train", "lengths", "words", "tokens"])
 
         for batch in batches:
             kind_of = batch.column("key").type
-            for k, words, on in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("train").to_pylist()):
-                found = (words or "").encode("utf-8", "replace").translate(_TO_LOWER).split()
-                keys.append(k)
-                trains.append(bool(on))
-                tokens.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
-                total += len(found) + 1
-                if total >= block_tokens:
-                    yield flush()
-                    number, keys, trains, tokens, total, block = _Numbers(), [], [], [], 0, block + 1
+            for part, texts in text_slices(batch):
+                for k, words, on in zip(part.column("key").to_pylist(), texts, part.column("train").to_pylist()):
+                    found = words.encode("utf-8", "replace").translate(_TO_LOWER).split()
+                    keys.append(k)
+                    trains.append(bool(on))
+                    tokens.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
+                    total += len(found) + 1
+                    if total >= block_tokens:
+                        yield flush()
+                        number, keys, trains, tokens, total, block = _Numbers(), [], [], [], 0, block + 1
         if keys:
             yield flush()
 
@@ -138,30 +142,36 @@ class Block:
         return self.before(self.grams(level - 1), BEFORE + np.uint64(level))
 
 
+#: Bits that tell the keys of a bucket apart.
+KEY_BITS = 40
+
+
 def _sorted(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, cut to the bucket's bits and 48 more, and where each of the given ones is among them."""
-    return np.unique(keys >> np.uint64(16 - bits), return_inverse=True)
+    """Distinct keys, cut to the bucket's bits and KEY_BITS more, and where each of the given ones is among them."""
+    return np.unique(keys >> np.uint64(max(0, 64 - KEY_BITS - bits)), return_inverse=True)
 
 
-def _slices(keys: np.ndarray):
+def _slices(keys: np.ndarray, bits: int):
     """Bucket, and the slice of the sorted keys in it."""
-    buckets = (keys >> np.uint64(48)).astype(np.int64)
+    low = np.uint64(min(KEY_BITS, 64 - bits))
+    buckets = (keys >> low).astype(np.int64)
     starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(keys) else []
     for s, e in zip(starts, [*starts[1:], len(keys)]):
         yield int(buckets[s]), slice(s, e)
 
 
-def _low(keys: np.ndarray) -> bytes:
-    """The lower 48 bits of sorted keys."""
-    six = np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6])
-    return len(keys).to_bytes(8, "little") + _codec.compress(six.T.tobytes(), asbytes=True)
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys of a bucket, each as its distance from the one before, which needs fewer bytes."""
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(data: bytes) -> np.ndarray:
+    return np.cumsum(expand(data, np.uint64), dtype=np.uint64)
 
 
-def _high(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :6] = np.frombuffer(_codec.decompress(data[8:], 6 * n), np.uint8).reshape(6, n).T
-    return out.view(np.uint64).ravel()
+def _short(x: np.ndarray) -> bytes:
+    """Floats without their last 16 bits (10 digits stay), whose places compress to nothing."""
+    return squeeze((x.view(np.uint64) & np.uint64(0xFFFFFFFFFFFF0000)).view(np.float64))
 
 
 # -- questions and answers
@@ -190,8 +200,8 @@ def ask_counts(table: DataFrame, order: int, bits: int) -> DataFrame:
                 for level in range(1, order + 1):
                     keys, at = _sorted(block.grams(level), bits)
                     n = np.bincount(at[block.train], minlength=len(keys)).astype(np.uint32)
-                    for bucket, s in _slices(keys):
-                        yield _ask(f"gram {level}", bucket, row["block"], _low(keys[s]), squeeze(n[s]))
+                    for bucket, s in _slices(keys, bits):
+                        yield _ask(f"gram {level}", bucket, row["block"], _steps(keys[s]), squeeze(n[s]))
 
     return table.mapInArrow(run, ASK)
 
@@ -200,7 +210,7 @@ def answer_counts(asked: DataFrame) -> DataFrame:
     """The count of each n-gram over all blocks; a row without a block has the bucket's counts of counts."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [_high(k) for k in rows["keys"]]
+        parts = [_keys(k) for k in rows["keys"]]
         keys, at = np.unique(np.concatenate(parts), return_inverse=True)
         n = np.bincount(at, np.concatenate([expand(x, np.uint32) for x in rows["n"]]), len(keys)).astype(np.uint32)
         known = n[n > 0]
@@ -320,20 +330,20 @@ def ask_alphas(answered: DataFrame, level: int, levels: list[Level], bits: int,
                 seen = np.bincount(at[on], (lower * share)[on], len(keys))
                 some = need | (n > 0)
                 keys, n, lost, seen, need = keys[some], n[some], lost[some], seen[some], need[some]
-                for bucket, s in _slices(keys):
-                    yield _ask(f"alpha {level}", bucket, row["block"], _low(keys[s]), squeeze(n[s]), squeeze(lost[s]), squeeze(seen[s]), squeeze(need[s].astype(np.uint8)))
+                for bucket, s in _slices(keys, bits):
+                    yield _ask(f"alpha {level}", bucket, row["block"], _steps(keys[s]), squeeze(n[s]), _short(lost[s]), _short(seen[s]), squeeze(need[s].astype(np.uint8)))
 
     return answered.mapInArrow(run, ASK)
 
 
 def answer_alphas(asked: DataFrame) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [_high(k) for k in rows["keys"]]
+        parts = [_keys(k) for k in rows["keys"]]
         keys, at = np.unique(np.concatenate(parts), return_inverse=True)
         n, lost, seen = (np.bincount(at, np.concatenate([expand(x, kind) for x in rows[c]]), len(keys)) for c, kind in (("n", np.uint32), ("lost", np.float64), ("lower", np.float64)))
         alpha = (lost / np.maximum(n, 1)) / np.maximum(1 - seen, 1e-12)
         needs = [expand(x, np.uint8).astype(bool) for x in rows["need"]]
-        payload = [squeeze(a[m]) for a, m in zip(np.split(alpha[at], np.cumsum([len(p) for p in parts])[:-1]), needs)]
+        payload = [_short(a[m]) for a, m in zip(np.split(alpha[at], np.cumsum([len(p) for p in parts])[:-1]), needs)]
         return pd.DataFrame({"what": rows["what"], "bucket": rows["bucket"], "block": rows["block"], "payload": payload, "stats": None})
 
     return asked.groupBy("what", "bucket").applyInPandas(run, ANSWER)
@@ -375,11 +385,10 @@ def score_documents(docs: DataFrame, train: Column, order: int = 2, key: str = "
         raise ValueError("order has to be 1 or more")
     kind = docs.schema[key].dataType.simpleString()
     table = cut(blocks(docs, key, text, train, block_tokens), "blocks", "none")
-    n_blocks = table.count()
-    bits = min(16, max(0, int(np.ceil(np.log2(max(1, n_blocks * block_tokens / bucket_tokens))))))
+    n_blocks, documents = table.agg(F.count("*"), F.coalesce(F.sum("trained"), F.lit(0))).first()
+    bits = max(0, int(np.ceil(np.log2(max(1, n_blocks * block_tokens / bucket_tokens)))))
     answers = cut(answer_counts(ask_counts(table, order, bits)), "counts", "none")
     levels = _levels(answers, order)
-    documents = table.select(F.expr("length(replace(hex(train), '00', '')) div 2").alias("n")).agg(F.sum("n")).first()[0] or 0
     for level in range(2, order + 1):
         asked = ask_alphas(with_answers(table, answers), level, levels, bits, documents)
         answers = answers.unionByName(cut(answer_alphas(asked), "alphas", "none"))
