@@ -12,15 +12,15 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
 from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from ratewatch.llm.common import text_slices
+
 #: The pre-tokens of this family of vocabularies, with Unicode's white space spelled out.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -43,7 +43,7 @@ class ByteBPE:
     Inside, tokens are numbered 0-255 for bytes and 256 + rank for merges, so that a smaller number merges earlier.
     """
 
-    def __init__(self, tokenizer_json: str, special: bool = True, max_cached: int = 120_000):
+    def __init__(self, tokenizer_json: str, special: bool = True, max_cached: int = 60_000):
         spec = json.loads(tokenizer_json)
         letters, vocab = byte_letters(), spec["model"]["vocab"]
         spell = lambda token: bytes(letters[c] for c in token)
@@ -74,6 +74,8 @@ class ByteBPE:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.pieces: dict[str, bytes] = {}  # ids of pre-tokens
         self.chunks: dict[str, bytes] = {}  # ids of what stands between single spaces
+        self.old_pieces: dict[str, bytes] = {}  # the caches before these, for words that come again
+        self.old_chunks: dict[str, bytes] = {}
         self.max_cached = max_cached
         self.seen = {"words": 0, "merged": 0}
 
@@ -215,6 +217,14 @@ class ByteBPE:
             ids, ends = self.outside[flat].astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
             self.pieces.update((words[i], ids[s:e]) for i, s, e in zip(chosen.tolist(), [0, *ends], ends))
 
+    def know(self, pieces: set[str]) -> None:
+        """Have all these pre-tokens in ``pieces``: from the cache before it, or else learned."""
+        missing = set(filterfalse(self.pieces.__contains__, pieces))
+        again = missing & self.old_pieces.keys()
+        self.pieces.update((p, self.old_pieces[p]) for p in again)
+        if missing := list(missing - again):
+            self.learn(missing)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         self.trim()
@@ -223,21 +233,22 @@ class ByteBPE:
         pieces: set[str] = set()
         for fast, parts in plans:
             (chunks if fast else pieces).update(filterfalse((self.chunks if fast else self.pieces).__contains__, parts))
-        found = {c: _find_pre_tokens(c.lstrip("\n") if c[:2] == "\n\n" else c if c[:1] == "\n" else f" {c}") for c in chunks}
+        again = chunks & self.old_chunks.keys()
+        self.chunks.update((c, self.old_chunks[c]) for c in again)
+        found = {c: _find_pre_tokens(c.lstrip("\n") if c[:2] == "\n\n" else c if c[:1] == "\n" else f" {c}") for c in chunks - again}
         pieces.update(p for ps in found.values() for p in ps)
-        if missing := [p for p in pieces if p not in self.pieces and p not in self.special]:
-            self.learn(missing)
+        self.know(pieces - self.special.keys())
         get = self.pieces.__getitem__
         self.chunks.update((c, b"".join(map(get, ps))) for c, ps in found.items())
         chunk = self.chunks.__getitem__
         return [b"".join(map(chunk, parts)) if fast else b"".join([self.special.get(p) or self.pieces[p] for p in parts]) for fast, parts in plans]
 
     def trim(self) -> None:
-        """Keep the caches within their bound."""
+        """Keep the caches within their bound: a full one becomes the old one, from which words that come again return."""
         if len(self.chunks) > self.max_cached:
-            self.chunks = {}
+            self.old_chunks, self.chunks = self.chunks, {}
         if len(self.pieces) > self.max_cached:
-            self.pieces = {}
+            self.old_pieces, self.pieces = self.pieces, {}
 
     def _plan(self, text: str) -> tuple[bool, list[str]]:
         """The chunks of a text between single spaces, or its pre-tokens if a chunk could begin with white space.
@@ -282,17 +293,6 @@ def vocabulary(spark, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch with about so many characters of text; null counts as empty."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64).cumsum()
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + chars)))
-        part = batch.slice(at, end - at)
-        yield part, [t or "" for t in part.column(column).to_pylist()]
-        at = end
-
-
 def encode_documents(docs: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and the ids of ``text`` (binary, little-endian unsigned 32-bit)."""
     shipped = vocabulary(docs.sparkSession, vocabulary_path)
@@ -314,8 +314,10 @@ def decode_documents(encoded: DataFrame, vocabulary_path: str, key: str = "doc_i
     def run(batches):
         bpe = load(shipped.value)
         for batch in batches:
-            texts = pa.array([bpe.decode(x or b"") for x in batch.column("ids").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("ids"), texts], ["key", "ids", "text"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = pa.array([bpe.decode(x or b"") for x in part.column("ids").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("ids"), texts], ["key", "ids", "text"])
 
     kind = encoded.schema[key].dataType.simpleString()
     return encoded.select(encoded[key].alias("key"), encoded[ids].alias("ids")).mapInArrow(run, f"key {kind}, ids binary, text string").withColumnRenamed("key", key)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ratewatch.llm import bpe
+from ratewatch.llm.common import text_slices
 
 LEAF, FAN = 64, 16
 
@@ -62,8 +63,7 @@ class TokenTree:
     def settle(self) -> None:
         """Count the tokens of touched leaves and bring their sums up to the root."""
         if self.touched:
-            if missing := self.unknown():
-                self.encoder.learn(list(missing))
+            self.encoder.know(self.unknown())
             for leaf in self.touched:
                 self._set(leaf, 1, self._count(self.leaves[leaf]))
             self.touched = set()
@@ -190,16 +190,14 @@ def count_edits(docs: DataFrame, vocabulary_path: str, key: str = "doc_id", text
     def run(batches):
         encoder = bpe.load(shipped.value, special=False)
         for batch in batches:
-            for part, texts in bpe.text_slices(batch, chars=500_000):
+            for part, texts in text_slices(batch, chars=500_000):
                 encoder.trim()
                 split = [encoder.pre_tokens(t) for t in texts]
-                if missing := set(filterfalse(encoder.pieces.__contains__, chain.from_iterable(split))):
-                    encoder.learn(list(missing))
+                encoder.know(set(filterfalse(encoder.pieces.__contains__, chain.from_iterable(split))))
                 trees = [TokenTree(pieces, encoder) for pieces in split]
                 before = [tree.tokens for tree in trees]
                 again = [sum(tree.edit(c["start"], c["stop"], c["text"]) for c in changes or [] if c and None not in (c["start"], c["stop"], c["text"])) for tree, changes in zip(trees, part.column("edits").to_pylist())]
-                if missing := set().union(*(tree.unknown() for tree in trees)):  # the edits' new words, learned together
-                    encoder.learn(list(missing))
+                encoder.know(set().union(*(tree.unknown() for tree in trees)))  # the edits' new words, learned together
                 after, edited = [tree.tokens for tree in trees], [tree.text() for tree in trees]
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(before, pa.int64()), pa.array(edited, pa.string()), pa.array(after, pa.int64()), pa.array(again, pa.int64())], ["key", "n_tokens", "edited_text", "edited_tokens", "encoded_again"])
 
