@@ -42,6 +42,11 @@ def _draw(term: Column, sample: Column, log_w: Column) -> Column:
     return F.floor((log_c - r * (F.floor(log_w / r + beta) - beta + 1)) * float(1 << 40))
 
 
+def _lower(text: str) -> Column:
+    """Lower case that doesn't hang on where a piece of text ends: a sigma is the same one at the end of a word."""
+    return F.lower(F.replace(text, F.lit("\u03a3"), F.lit("\u03c3")))
+
+
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, th, text``: th tells texts under one id apart."""
     body = F.coalesce(docs[text], F.lit(""))
@@ -80,9 +85,9 @@ def edited(rows: DataFrame, order: DataFrame) -> DataFrame:
 
 def fingerprint_pairs(parts: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """``id, th, fp, edited_fp`` of texts with at least a word in either version."""
-    keep = F.lower("keep")
+    keep = _lower("keep")
     broken = F.reverse(F.regexp_extract(F.reverse(keep), f"^{WORD_PATTERN}", 0))  # a word that the edit may cut
-    split = parts.select(*_KEY, keep.alias("keep"), broken.alias("broken"), F.lower("own").alias("own"), F.lower("other").alias("other"))
+    split = parts.select(*_KEY, keep.alias("keep"), broken.alias("broken"), _lower("own").alias("own"), _lower("other").alias("other"))
     words = split.select(
         *_KEY,
         F.split(F.expr("left(keep, char_length(keep) - char_length(broken))"), _GAP).alias("both"),
