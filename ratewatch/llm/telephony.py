@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ratewatch.llm.common import text_slices
+
 UNIT = 192
 RATE, RESAMPLED = 8000, 16000
 #: The format tags of RIFF files.
@@ -137,10 +139,11 @@ def to_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     def run(batches):
         for batch in batches:
-            raw = [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
-            padded = [r.ljust(max(UNIT, -(-len(r) // UNIT) * UNIT), b" ") for r in raw]
-            media = [riff(p, CODECS[zlib.crc32(p) % len(CODECS)]) for p in padded]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], ["key", "n_bytes", "media"])
+            for part, texts in text_slices(batch):
+                raw = [t.encode("utf-8", "replace") for t in texts]
+                padded = [r.ljust(max(UNIT, -(-len(r) // UNIT) * UNIT), b" ") for r in raw]
+                media = [riff(p, CODECS[zlib.crc32(p) % len(CODECS)]) for p in padded]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], ["key", "n_bytes", "media"])
 
     return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, n_bytes long, media binary").withColumnRenamed("key", key)
 
@@ -157,9 +160,8 @@ def from_media(table: DataFrame, keep: list[str], media: str = "media", keep_pcm
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [unriff(m) for m in part.column("__media").to_pylist()]
+            for part, files in text_slices(batch, "__media"):
+                found = [unriff(m) for m in files]
                 blocks = [np.frombuffer(p, np.uint8).reshape(-1, UNIT) for c, p in found if c == "adpcm"]
                 expanded = iter(())
                 if blocks:
