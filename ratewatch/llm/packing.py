@@ -3,8 +3,12 @@
 A piece of a document is a vector of three demands: tokens, segments (one) and loss-bearing tokens. A sequence is
 a bin with a limit on each. The dot-product heuristic fills one bin at a time with the piece whose demands, as
 shares of the limits, have the largest dot product with the room that is left. A document longer than a sequence
-gives full pieces first; a piece that no longer fits whole may be cut to close a gap. Each task packs the rows of
-its own partition from a pool of bounded size, so nothing is shuffled and no group can grow without bound.
+gives pieces as large as the limits allow; a piece that no longer fits whole may be cut to close a gap, and the last segment
+of a sequence is the piece that closes it best. Each task packs the rows of its own partition from a pool of bounded size,
+so nothing is shuffled and no group can grow without bound.
+
+Instruction data bear loss only after the prompt: a document's first ids, by a column or as a share of its ids. A sequence
+whose loss limit is reached goes on with prompts.
 
 At the end of a partition the rest is packed into sequences whose sizes are powers of two, which need no padding.
 
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewatch.llm import bpe
+from ratewatch.llm.common import text_slices
 
 #: Fixed value: pre-tokens as the vocabulary's public description gives them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -96,6 +101,11 @@ class Pool:
     def tokens(self) -> int:
         return int(self.demand[: len(self.items), 0].sum())
 
+    def loss_only(self) -> bool:
+        """Whether no piece has an id without loss, so that sequences can't be longer than the loss limit."""
+        demand = self.demand[: len(self.items)]
+        return bool((demand[:, 0] == demand[:, 2]).all())
+
     def take(self, tokens: int, least_cut: int) -> list[tuple]:
         """The pieces of one sequence of at most so many tokens."""
         full = self.limits.vector()
@@ -105,17 +115,17 @@ class Pool:
             demand = self.demand[: len(self.items)]
             score = demand @ (room * weight)
             fits = (demand <= room).all(axis=1)
-            if fits.any():
+            part = np.minimum(np.minimum(demand[:, 0], room[0]), room[2] + demand[:, 0] - demand[:, 2])  # what of each could go in: prompts come first
+            if room[1] > 1 and fits.any():
                 i = int(np.where(fits, score, -1).argmax())
-                room -= demand[i]
-                chosen.append(self._remove(i))
-                continue
-            i = int(score.argmax())  # no piece fits whole: cut the one that matches best
-            key, start, ids, total, loss_from = self.items[i]
-            n = min(int(room[0]), len(ids), int(room[2]) + max(0, loss_from - start))
-            if n < least_cut:
+            elif room[1] == 1:
+                i = int(np.where(part == part.max(), score, -1).argmax())
+            else:  # no piece fits whole: cut the one that matches best
+                i = int(np.where(part >= least_cut, score, -1).argmax())
+            n = int(part[i])
+            if n < (1 if fits[i] else least_cut):
                 break
-            self._remove(i)
+            key, start, ids, total, loss_from = self._remove(i)
             if n < len(ids):
                 self.add((key, start + n, ids[n:], total, loss_from))
             chosen.append((key, start, ids[:n], total, loss_from))
@@ -123,10 +133,11 @@ class Pool:
         return chosen
 
 
-def pack_documents(docs: DataFrame, vocabulary_path: str, limits: Limits = Limits(), end_id: int = 1, pool: int = 512, least_cut: int = 16, key: str = "doc_id", text: str = "text", loss_from: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary_path: str, limits: Limits = Limits(), end_id: int = 1, pool: int = 512, least_cut: int = 16, key: str = "doc_id", text: str = "text", loss_from: str | None = None, prompt_share: float = 0.0) -> DataFrame:
     """One row a piece: ``key, start, length, ids, doc_tokens, loss_tokens, sequence_id, offset``.
 
-    ``loss_from`` names a column with the number of leading ids of a document that bear no loss (null: none).
+    ``loss_from`` names a column with the number of leading ids of a document that bear no loss (null: ``prompt_share`` of
+    its ids, rounded down).
     A sequence's id holds the partition that made it, so ids are unique without any exchange.
     """
     if limits.tokens < 1 or limits.segments < 1 or limits.loss_tokens < 1:
@@ -157,23 +168,28 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, limits: Limits = Limit
 
         for batch in batches:
             keys = batch.column("key").type
-            for part, texts in bpe.text_slices(batch):
+            for part, texts in text_slices(batch):
                 starts = part.column("loss_from").to_pylist()
                 for k, words, free in zip(part.column("key").to_pylist(), texts, starts):
                     ids = np.append(made(words), np.uint32(end_id)).astype("<u4")
-                    cut = len(ids) - len(ids) % whole
-                    for s in range(0, cut, whole):
-                        place([(k, s, ids[s : s + whole], len(ids), free or 0)])
-                    if cut < len(ids):
-                        waiting.add((k, cut, ids[cut:], len(ids), free or 0))
+                    free = min(len(ids), max(0, int(prompt_share * len(ids)) if free is None else free))
+                    if len(ids) <= whole:
+                        waiting.add((k, 0, ids, len(ids), free))
+                    else:  # prompts in quarters, as they have to fill what the loss limit leaves
+                        cuts = [*range(0, free, max(1, whole // 4)), *range(free, len(ids), whole), len(ids)]
+                        for s, e in zip(cuts, cuts[1:]):
+                            waiting.add((k, s, ids[s:e], len(ids), free))
+                            while len(waiting) >= pool:
+                                place(waiting.take(limits.tokens, least_cut))
                     while len(waiting) >= pool:
                         place(waiting.take(limits.tokens, least_cut))
                 if len(rows) >= 1000:
                     yield flush()
         while len(waiting):
-            rest = waiting.tokens()
-            if chosen := waiting.take(min(limits.tokens, 1 << (rest.bit_length() - 1)) if rest < limits.tokens else limits.tokens, 1):
-                place(chosen)
+            most = min(waiting.tokens(), limits.tokens)
+            if waiting.loss_only():
+                most = min(most, limits.loss_tokens)
+            place(waiting.take(most if most == limits.tokens else 1 << (most.bit_length() - 1), 1))
         if rows:
             yield flush()
 
