@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewatch.llm import bpe, cws, edit_counts, katz, langid, packing, sharding, simhash, telephony, toxicity
-from ratewatch.llm.common import documents
+from ratewatch.llm.common import cut, documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,9 +21,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of all documents in 24 shards of nearly equal bytes."""
+    """Places of all documents in 24 shards of nearly equal bytes, and in 25 by the next version of the map."""
     placed, _ = sharding.shard_documents(documents(spark, sf_dir), shards=24)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "shard_after")
 
 
 def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Katz backoff scores of every document under bigrams of four fifths of them."""
-    return katz.score_documents(documents(spark, sf_dir), train=~katz.held_out(F.col("doc_id")), order=2)
+    """Katz backoff scores of every document under trigrams of four fifths of them."""
+    return katz.score_documents(documents(spark, sf_dir), train=~katz.held_out(F.col("doc_id")), order=3)
 
 
 def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,10 +43,20 @@ def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+#: Sequences of op6 and the pipeline: the first quarter of each document is its prompt, without loss; seven eighths of a
+#: sequence may bear loss; and it has at most 10 segments.
+SEQUENCE, PROMPT_SHARE = packing.Limits(tokens=2048, segments=10, loss_tokens=1792), 0.25
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Documents packed into sequences of at most 2048 tokens."""
+    pieces = packing.pack_documents(docs, BYTE_BPE, SEQUENCE, end_id=1, prompt_share=PROMPT_SHARE)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
-    pieces = packing.pack_documents(documents(spark, sf_dir), BYTE_BPE, packing.Limits(tokens=2048, segments=64, loss_tokens=2048), end_id=1)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+    return packed(documents(spark, sf_dir))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,12 +79,12 @@ def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as telephony audio: stored, read back, expanded, described."""
-    media = telephony.to_media(documents(spark, sf_dir))
+    """Every document as telephony audio: written, read back, expanded, described; the resampled PCM is the column ``pcm``."""
+    media = cut(telephony.to_media(documents(spark, sf_dir)), "media")
     media = media.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
-    read = telephony.from_media(media, ["doc_id", "n_bytes", "media_bytes", "media_sha256"], keep_pcm=False)
+    read = telephony.from_media(media, ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
     tail = F.substring("payload", -16, 16)
-    return read.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+    return read.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "pcm")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
