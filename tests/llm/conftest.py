@@ -45,7 +45,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(odd_rows(), DOCS)
-    for name in ("key", "fp", "score", "ids", "label", "features", "x", "media", "slot", "raw", "block", "id", "th"):
+    for name in ("key", "fp", "score", "ids", "label", "features", "x", "media", "slot", "raw", "block", "id", "th", "a.b", "toxicity score", "node", "root", "rows", "hash", "c0", "judged", "odd`name"):
         df = df.withColumn(name, F.lit("clash"))
     return df.repartition(3, "source").persist()
 

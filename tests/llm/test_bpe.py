@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ratewatch.llm import bpe, edit_counts, packing
-from ratewatch.llm.queries import BYTE_BPE, queries
+from ratewatch.llm.queries import BYTE_BPE, PROMPT_SHARE, SEQUENCE, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -172,11 +172,50 @@ def test_loss_limit_counts_only_ids_with_loss(spark):
 
 def test_little_padding(spark):
     rows = queries()["op6_vector_packing"](spark, SF).collect()
-    _, sequences = check_packing(rows, packing.Limits())
+    _, sequences = check_packing(rows, SEQUENCE)
+    loads = [sum(r.loss_tokens for r in s) for s in sequences.values()]
+    assert np.mean([n == SEQUENCE.loss_tokens for n in loads]) > 0.1  # the loss limit decides
+    assert any(len(s) == SEQUENCE.segments for s in sequences.values())
     padded = sum(2048 - n for s in sequences.values() if (n := sum(r.length for r in s)) & (n - 1))
     assert padded < 0.005 * sum(r.length for r in rows)
 
 
+def test_packing_query_against_the_library(spark, library):
+    import zlib
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    wanted = dict(zip(docs, library.encode_batch(list(docs.values()), add_special_tokens=False)))
+    by_doc = {}
+    for r in queries()["op6_vector_packing"](spark, SF).collect():
+        by_doc.setdefault(r.doc_id, []).append(r)
+    assert by_doc.keys() == docs.keys()
+    for d, pieces in by_doc.items():
+        ids = np.array([*wanted[d].ids, 1], "<u4")
+        at, free = 0, int(PROMPT_SHARE * len(ids))
+        for p in sorted(pieces, key=lambda p: p.start):
+            assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + p.length].tobytes()))
+            assert p.loss_tokens == max(0, at + p.length - max(at, free))
+            at += p.length
+        assert at == len(ids)
+
+
+def test_ids_of_very_long_texts(library):
+    words = mixed_texts()
+    made = packing.Ids(SPEC)
+    for text in ("word don't  12 é\n" * 30_000, " ".join(words) * 20, "<|endoftext|> x " * 30_000):
+        assert len(text) > packing.LONG_TEXT
+        assert made(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_caches_stay_bounded_and_right(library):
+    own = bpe.ByteBPE(SPEC, max_cached=50)
+    texts = mixed_texts(600)
+    for at in range(0, len(texts), 20):
+        some = texts[at : at + 20] + texts[:5]
+        for wanted, ids in zip(library.encode_batch(some, add_special_tokens=False), own.encode(some)):
+            assert np.frombuffer(ids, "<u4").tolist() == wanted.ids
+
+
 def test_limits_are_checked(odd):
     with pytest.raises(ValueError):
         packing.pack_documents(odd, BYTE_BPE, packing.Limits(tokens=0))
