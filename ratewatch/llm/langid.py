@@ -136,7 +136,9 @@ def _tree(gram: np.ndarray, n: np.ndarray, symbol: np.ndarray, a: int, least: in
             code = code * a + s
         if order == ORDER:
             pairs = row_of
+            known = pairs[code] >= newest  # else its newer symbols are not kept, and neither is it
             code = pairs[code] * a + letters[0]
+            n = np.where(known, n, 0)
         contexts, at = np.unique(code, return_inverse=True)
         often = np.bincount(at, n, len(contexts)) >= (least if order > 1 else 0)
         kept, use = contexts[often], often[at]
@@ -150,7 +152,7 @@ def _tree(gram: np.ndarray, n: np.ndarray, symbol: np.ndarray, a: int, least: in
         total, distinct = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
         left = 1 - np.where(count > 0, below, 0).sum(axis=1, keepdims=True)
         escaped = distinct / np.maximum(total + distinct, 1) * below / np.maximum(left, 1e-12)
-        row_of = shorter.copy()
+        row_of, newest = shorter.copy(), len(rows)
         row_of[kept] = len(rows) + np.arange(len(kept))
         rows = np.concatenate([rows, np.where(count > 0, count / np.maximum(total + distinct, 1), escaped)])
     return Tree(pairs.astype(np.int32), row_of.astype(np.int32), -np.log2(np.maximum(rows, 1e-30)).ravel().astype(np.float32))
