@@ -192,14 +192,15 @@ def _each(batch: pa.RecordBatch):
 
 
 def ask_counts(table: DataFrame, order: int, bits: int) -> DataFrame:
-    """Each block's distinct n-grams of every order, and how often each stands in its training documents."""
+    """Each block's distinct n-grams of every order: how often in its training documents, times 2, and 1 more if in others too."""
 
     def run(batches):
         for batch in batches:
             for row, block in _each(batch):
                 for level in range(1, order + 1):
                     keys, at = _sorted(block.grams(level), bits)
-                    n = np.bincount(at[block.train], minlength=len(keys)).astype(np.uint32)
+                    n, others = (np.bincount(at[on], minlength=len(keys)) for on in (block.train, ~block.train))
+                    n = (2 * n + (others > 0)).astype(np.uint32)
                     for bucket, s in _slices(keys, bits):
                         yield _ask(f"gram {level}", bucket, row["block"], _steps(keys[s]), squeeze(n[s]))
 
@@ -207,13 +208,18 @@ def ask_counts(table: DataFrame, order: int, bits: int) -> DataFrame:
 
 
 def answer_counts(asked: DataFrame) -> DataFrame:
-    """The count of each n-gram over all blocks; a row without a block has the bucket's counts of counts."""
+    """The count of each n-gram over all blocks, times 2, and 1 more if any document has it that isn't learned from.
+
+    A row without a block has the bucket's counts of counts.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [_keys(k) for k in rows["keys"]]
         keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-        n = np.bincount(at, np.concatenate([expand(x, np.uint32) for x in rows["n"]]), len(keys)).astype(np.uint32)
+        said = np.concatenate([expand(x, np.uint32) for x in rows["n"]])
+        n, others = np.bincount(at, said >> 1, len(keys)).astype(np.int64), np.bincount(at, said & 1, len(keys)) > 0
         known = n[n > 0]
+        n = (2 * n + others).astype(np.uint32)
         stats = [*np.bincount(np.minimum(known, GT_UP_TO + 2), minlength=GT_UP_TO + 3)[1 : GT_UP_TO + 2].tolist(), len(known), int(known.sum(dtype=np.int64))]
         ends = np.cumsum([len(p) for p in parts])
         payload = [squeeze(x) for x in np.split(n[at], ends[:-1])]
@@ -265,13 +271,14 @@ class Known:
         self.payload: dict[str, list] = {}
         for a in sorted((a for a in answers or []), key=lambda a: a["bucket"]):
             self.payload.setdefault(a["what"], []).append(a["payload"])
-        self.r = {}
+        self.r, self.open = {}, {}
 
     def counts(self, level: int) -> np.ndarray:
         """In training, of the n-gram that ends at each token."""
         if level not in self.r:
             _, at = _sorted(self.block.grams(level), self.bits)
-            self.r[level] = np.concatenate([expand(p, np.uint32) for p in self.payload[f"gram {level}"]])[at].astype(np.int64)
+            said = np.concatenate([expand(p, np.uint32) for p in self.payload[f"gram {level}"]])[at]
+            self.r[level], self.open[level] = (said >> 1).astype(np.int64), (said & 1).astype(bool)
         return self.r[level]
 
     def context_counts(self, level: int) -> np.ndarray:
@@ -315,7 +322,8 @@ def with_answers(table: DataFrame, answers: DataFrame) -> DataFrame:
 def ask_alphas(answered: DataFrame, level: int, levels: list[Level], bits: int, documents: int) -> DataFrame:
     """For each context of a block: its training tokens, what they lose, and the shorter contexts' chances of what follows.
 
-    A sum over the n-grams of a context is taken over its tokens, each with a share of one by its n-gram's count.
+    A sum over the n-grams of a context is taken over its tokens, each with a share of one by its n-gram's count. Only a
+    document that isn't learned from can need an alpha, so contexts that no such document has are left out.
     """
 
     def run(batches):
@@ -328,7 +336,9 @@ def ask_alphas(answered: DataFrame, level: int, levels: list[Level], bits: int,
                 n = np.bincount(at[on], minlength=len(keys)).astype(np.uint32)
                 lost = np.bincount(at[on], (_lost(levels[level - 1], r) * share)[on], len(keys))
                 seen = np.bincount(at[on], (lower * share)[on], len(keys))
-                some = need | (n > 0)
+                open_keys = np.zeros(len(keys), bool)
+                open_keys[at] = block.before(known.open[level - 1], True)
+                some = need | (n > 0) & open_keys
                 keys, n, lost, seen, need = keys[some], n[some], lost[some], seen[some], need[some]
                 for bucket, s in _slices(keys, bits):
                     yield _ask(f"alpha {level}", bucket, row["block"], _steps(keys[s]), squeeze(n[s]), _short(lost[s]), _short(seen[s]), squeeze(need[s].astype(np.uint8)))
@@ -390,7 +400,8 @@ def score_documents(docs: DataFrame, train: Column, order: int = 2, key: str = "
     answers = cut(answer_counts(ask_counts(table, order, bits)), "counts", "none")
     levels = _levels(answers, order)
     for level in range(2, order + 1):
-        asked = ask_alphas(with_answers(table, answers), level, levels, bits, documents)
+        known = answers.where(F.col("what").isin([f"gram {k}" for k in range(1, level + 1)] + [f"alpha {k}" for k in range(2, level)]))
+        asked = ask_alphas(with_answers(table, known), level, levels, bits, documents)
         answers = answers.unionByName(cut(answer_alphas(asked), "alphas", "none"))
     return score_blocks(with_answers(table, answers), order, levels, bits, documents, kind).withColumnRenamed("key", key)
 
