@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +55,12 @@ def drop(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Shuffle files of finished steps stay on disk until the driver collects its garbage: let it do so between large steps."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The same rows with the columns named c0, c1, ..., and the new name of each: dots and clashes can't do harm then."""
     names = {c: f"c{i}" for i, c in enumerate(df.columns)}

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewatch.llm.common import LOWER, UPPER, cut, text_slices
+from ratewatch.llm.common import LOWER, UPPER, cut, sweep, text_slices
 
 #: Tokens of a block, about.
 BLOCK_TOKENS = 1_500_000
@@ -399,10 +399,13 @@ def score_documents(docs: DataFrame, train: Column, order: int = 2, key: str = "
     bits = max(0, int(np.ceil(np.log2(max(1, n_blocks * block_tokens / bucket_tokens)))))
     answers = cut(answer_counts(ask_counts(table, order, bits)), "counts", "none")
     levels = _levels(answers, order)
+    sweep(docs.sparkSession)
     for level in range(2, order + 1):
         known = answers.where(F.col("what").isin([f"gram {k}" for k in range(1, level + 1)] + [f"alpha {k}" for k in range(2, level)]))
         asked = ask_alphas(with_answers(table, known), level, levels, bits, documents)
         answers = answers.unionByName(cut(answer_alphas(asked), "alphas", "none"))
+        del asked, known
+        sweep(docs.sparkSession)
     return score_blocks(with_answers(table, answers), order, levels, bits, documents, kind).withColumnRenamed("key", key)
 
 
