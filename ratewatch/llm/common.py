@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -57,8 +58,10 @@ def drop(df: DataFrame) -> None:
 
 def sweep(spark: SparkSession) -> None:
     """Shuffle files of finished steps stay on disk until the driver collects its garbage: let it do so between large steps."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)  # Python's side lets go of the driver's objects in a thread
+        spark._jvm.System.gc()
 
 
 def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
