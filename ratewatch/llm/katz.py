@@ -271,12 +271,18 @@ class Known:
         self.payload: dict[str, list] = {}
         for a in sorted((a for a in answers or []), key=lambda a: a["bucket"]):
             self.payload.setdefault(a["what"], []).append(a["payload"])
-        self.r, self.open = {}, {}
+        self.r, self.open, self.distinct = {}, {}, {}
+
+    def keys(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The block's distinct n-grams, and where each token's is among them."""
+        if level not in self.distinct:
+            self.distinct[level] = _sorted(self.block.grams(level), self.bits)
+        return self.distinct[level]
 
     def counts(self, level: int) -> np.ndarray:
         """In training, of the n-gram that ends at each token."""
         if level not in self.r:
-            _, at = _sorted(self.block.grams(level), self.bits)
+            _, at = self.keys(level)
             said = np.concatenate([expand(p, np.uint32) for p in self.payload[f"gram {level}"]])[at]
             self.r[level], self.open[level] = (said >> 1).astype(np.int64), (said & 1).astype(bool)
         return self.r[level]
@@ -301,8 +307,16 @@ class Known:
         return np.where(r > 0, (r - _lost(self.levels[level - 1], r)) / np.maximum(held, 1), np.where(held > 0, alpha[at], 1.0) * backed_off)
 
     def wanted(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which of the sorted contexts need an alpha, where each token's context is among them, and these contexts."""
-        keys, at = _sorted(self.block.contexts(level), self.bits)
+        """Which of the sorted contexts need an alpha, where each token's context is among them, and these contexts.
+
+        Contexts are the shorter n-grams one token before, which are sorted already, and a document's beginning.
+        """
+        keys, at = self.keys(level - 1)
+        begin = (BEFORE + np.uint64(level)) >> np.uint64(max(0, 64 - KEY_BITS - self.bits))
+        i = int(np.searchsorted(keys, begin))
+        if i == len(keys) or keys[i] != begin:
+            keys, at = np.insert(keys, i, begin), at + (at >= i)
+        at = self.block.before(at, i)
         need = np.zeros(len(keys), bool)
         need[at[(self.counts(level) == 0) & (self.context_counts(level) > 0)]] = True
         return need, at, keys
