@@ -26,6 +26,11 @@ _ITEM = "array<struct<index:int,topic:string,severity:string,bullish_cop:boolean
 _ARRIVAL = ("feed_rank", "entry_seq")
 
 
+def newest_first() -> list[Column]:
+    """Ties in the order of arrival."""
+    return [F.desc("published_at"), *map(F.col, _ARRIVAL)]
+
+
 def union_feeds(*feeds: DataFrame) -> DataFrame:
     """All articles, copies included."""
     return reduce(lambda a, b: a.unionByName(b), feeds)
@@ -42,10 +47,9 @@ def dedup_by_url(articles: DataFrame) -> DataFrame:
 
 def latest_articles(articles: DataFrame, n: int = MOST_ARTICLES, by: str | None = None) -> DataFrame:
     """The newest n articles, or n of each value of ``by``; ties in the order of arrival."""
-    order = [F.desc("published_at"), *_ARRIVAL]
     if by is None:
-        return articles.orderBy(*order).limit(n)
-    return articles.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
+        return articles.orderBy(*newest_first()).limit(n)
+    return articles.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*newest_first()))).where(F.col("rank") <= n)
 
 
 def classify_keywords(articles: DataFrame, keywords: list[str] = KEYWORDS) -> DataFrame:
@@ -55,8 +59,8 @@ def classify_keywords(articles: DataFrame, keywords: list[str] = KEYWORDS) -> Da
 
 
 def number_articles(articles: DataFrame, batch: str, index_base: int = 0, most: int | None = None) -> DataFrame:
-    """Articles with their ``index`` in their batch, by arrival."""
-    numbered = articles.withColumn("index", F.row_number().over(W.partitionBy(batch).orderBy(*_ARRIVAL)) - 1 + index_base)
+    """Articles with their ``index`` in their batch, newest first."""
+    numbered = articles.withColumn("index", F.row_number().over(W.partitionBy(batch).orderBy(*newest_first())) - 1 + index_base)
     return numbered if most is None else numbered.where(F.col("index") < most + index_base)
 
 

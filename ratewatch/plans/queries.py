@@ -364,7 +364,7 @@ def report_outbox(spark, sf_dir):
 
 @query(
     t.with_tables(
-        f"""SELECT feed_rank, entry_seq, '{report.BAD}' || ' [' || rpad(severity, 6, ' ') || '] ' || rpad(topic, 20, ' ') || ' | ' || substring(title, 1, 70) AS line FROM (SELECT feed_rank, entry_seq, title, {_FALLBACK} FROM articles) ORDER BY feed_rank, entry_seq LIMIT 10""",
+        f"""SELECT feed_rank, entry_seq, '{report.BAD}' || ' [' || rpad(severity, 6, ' ') || '] ' || rpad(topic, 20, ' ') || ' | ' || substring(title, 1, 70) AS line FROM (SELECT feed_rank, entry_seq, published_at, title, {_FALLBACK} FROM articles) ORDER BY published_at DESC, feed_rank, entry_seq LIMIT 10""",
         "articles",
     )
 )

@@ -79,7 +79,7 @@ SQL = {
     "nation_panel": _panel_sql("orders JOIN customer ON o_custkey = c_custkey", "CAST(c_nationkey AS VARCHAR)", "o_orderdate", "o_totalprice"),
     "lineitem_panel": _panel_sql("lineitem", "l_returnflag || l_linestatus", "l_shipdate", "l_extendedprice"),
     "articles": "SELECT md5(text) AS url, substring(split_part(text, chr(10), 1), 1, 80) AS title, text AS summary, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 500 AS BIGINT)) AS published_at, source, CAST(substring(source, 4) AS INTEGER) AS feed_rank, doc_id AS entry_seq FROM documents",
-    "numbered": "SELECT *, row_number() OVER (PARTITION BY source ORDER BY feed_rank, entry_seq) - 1 AS index FROM articles",
+    "numbered": "SELECT *, row_number() OVER (PARTITION BY source ORDER BY published_at DESC, feed_rank, entry_seq) - 1 AS index FROM articles",
 }
 
 

@@ -266,3 +266,20 @@ def test_report_texts(spark):
     metrics = spark.createDataFrame([], "series_id string, model_name string, mae double, rmse double, mape double, n_samples long")
     row = report.build_reports(summary, told, nothing, metrics, "2024-06-01", 3).first()
     assert "1 USD = 4,050.00 COP" in row.report and "+1.25%" in row.report and row.report.rstrip().endswith("N/A") and report.UP in row.report
+
+
+def test_digest_and_listing_are_newest_first(spark):
+    """Fifty articles that come in out of order: the digest has the twenty newest, from the newest on."""
+    import random
+    from datetime import datetime, timedelta
+
+    from ratewatch.operators import news, report
+
+    order = list(range(50))
+    random.Random(2).shuffle(order)
+    rows = [(f"t{k}", "s", f"u{k}", "feed", datetime(2024, 1, 1) + timedelta(hours=k), 0, i, "day") for i, k in enumerate(order)]
+    articles = spark.createDataFrame(rows, "title string, summary string, url string, source string, published_at timestamp, feed_rank int, entry_seq long, batch string")
+    lines = news.build_digest(articles, "batch", "narrative").first().digest.split("\n")
+    assert lines == [f"[{i + 1}] t{49 - i} — s" for i in range(20)]
+    shown = report.article_view(news.classify_keywords(articles)).collect()
+    assert [r.line.split("| ")[1] for r in shown] == [f"t{49 - i}" for i in range(10)]
