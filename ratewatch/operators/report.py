@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewatch.functions import money, prefix, signed
+from ratewatch.operators.news import newest_first
 from ratewatch.sources.sinks import MOST_CHARS
 
 #: Marks and headings of the texts.
 UP, DOWN, MONEY, GOOD, BAD = "📈", "📉", "💵", "🟢", "🔴"
 TABLE_HEAD = "| Date | Forecast | 95% CI |\n|------|----------|--------|\n"
+BASE, QUOTE = "USD", "COP"
 TAGS = "#COP #Dólar #Colombia"
 
 
@@ -30,29 +32,29 @@ def metrics_section(metrics: DataFrame) -> DataFrame:
     return rows.groupBy("series_id").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY model_name)").alias("metrics_section"))
 
 
-def build_reports(summary: DataFrame, narrative: DataFrame, ensemble: DataFrame, metrics: DataFrame, run_date: str, horizon: int, series: DataFrame | None = None) -> DataFrame:
+def build_reports(summary: DataFrame, narrative: DataFrame, ensemble: DataFrame, metrics: DataFrame, run_date: str, horizon: int, series: DataFrame | None = None, base: str = BASE, quote: str = QUOTE) -> DataFrame:
     """``series_id, run_date, latest_rate, rate_change_pct, narrative, report`` for each series; what is missing is zero or empty.
 
-    ``narrative`` has one row a run date.
+    ``narrative`` has one row a run date. The rates are of ``base`` in ``quote``.
     """
-    base = summary.select("series_id", "latest_rate", "rate_change_pct")
+    rates = summary.select("series_id", "latest_rate", "rate_change_pct")
     if series is not None:
-        base = series.select("series_id").distinct().join(base, "series_id", "left")
+        rates = series.select("series_id").distinct().join(rates, "series_id", "left")
     told = narrative.where(F.col("run_date") == run_date).agg(F.first("narrative", ignorenulls=True).alias("narrative"))  # one row
-    rows = base.join(forecast_table(ensemble), "series_id", "left").join(metrics_section(metrics), "series_id", "left").crossJoin(F.broadcast(told))
+    rows = rates.join(forecast_table(ensemble), "series_id", "left").join(metrics_section(metrics), "series_id", "left").crossJoin(F.broadcast(told))
     rate, change = F.coalesce("latest_rate", F.lit(0.0)), F.coalesce("rate_change_pct", F.lit(0.0))
     rows = rows.select("series_id", F.lit(run_date).alias("run_date"), rate.alias("latest_rate"), change.alias("rate_change_pct"), F.coalesce("narrative", F.lit("")).alias("narrative"), F.coalesce("forecast_table", F.lit("")).alias("table"), F.coalesce("metrics_section", F.lit("N/A")).alias("metrics"))
     text = F.concat(
-        F.lit("# COP/USD Intelligence Report — "), "run_date", F.lit("\n\n## Current Rate\n**1 USD = "), money(F.col("latest_rate")), F.lit(" COP** "),
+        F.lit(f"# {quote}/{base} Intelligence Report — "), "run_date", F.lit(f"\n\n## Current Rate\n**1 {base} = "), money(F.col("latest_rate")), F.lit(f" {quote}** "),
         F.when(F.col("rate_change_pct") > 0, UP).otherwise(DOWN), F.lit(" ("), signed(F.col("rate_change_pct")), F.lit("% vs 30 days ago)\n\n## Market Narrative\n"), "narrative",
         F.lit(f"\n\n## {horizon}-Day Forecast\n"), "table", F.lit("\n\n## Model Performance (back-test)\n"), "metrics", F.lit("\n"),
     )
     return rows.select("series_id", "run_date", "latest_rate", "rate_change_pct", "narrative", text.alias("report"))
 
 
-def build_posts(reports: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
+def build_posts(reports: DataFrame, most_chars: int = MOST_CHARS, base: str = BASE, quote: str = QUOTE, tags: str = TAGS) -> DataFrame:
     """``series_id, run_date, post``."""
-    text = F.concat(F.lit("COP/USD — "), "run_date", F.lit(f"\n{MONEY} 1 USD = "), money(F.col("latest_rate"), 0), F.lit(" COP ("), signed(F.col("rate_change_pct"), 1), F.lit("% 30d)\n"), prefix(F.col("narrative"), 120), F.lit(f"...\n{TAGS}"))
+    text = F.concat(F.lit(f"{quote}/{base} — "), "run_date", F.lit(f"\n{MONEY} 1 {base} = "), money(F.col("latest_rate"), 0), F.lit(f" {quote} ("), signed(F.col("rate_change_pct"), 1), F.lit("% 30d)\n"), prefix(F.col("narrative"), 120), F.lit(f"...\n{tags}"))
     return reports.select("series_id", "run_date", prefix(text, most_chars).alias("post"))
 
 
@@ -63,6 +65,6 @@ def article_line(bullish: Column, severity: Column, topic: Column, title: Column
 
 
 def article_view(analyzed: DataFrame, n: int = 10) -> DataFrame:
-    """``feed_rank, entry_seq, line`` of the first n articles to come in."""
+    """``feed_rank, entry_seq, line`` of the n newest articles."""
     line = article_line(F.col("bullish_cop"), F.col("severity"), F.col("topic"), F.col("title"))
-    return analyzed.orderBy("feed_rank", "entry_seq").limit(n).select("feed_rank", "entry_seq", line.alias("line"))
+    return analyzed.orderBy(*newest_first()).limit(n).select("feed_rank", "entry_seq", line.alias("line"))
