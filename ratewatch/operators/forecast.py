@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -22,7 +23,6 @@ from ratewatch.operators.panel import future_business_days, holdout_split, to_bu
 FORECAST = "model_name string, model_rank int, step int, ds date, yhat double, yhat_lower double, yhat_upper double, error string"
 KEYS = ("series_id",)
 Model = Callable[[DataFrame, int, tuple[str, ...]], DataFrame]
-#: Tasks for each core when series are dealt out for fitting: fits take long, rows are few.
 _DAY0 = np.datetime64("1970-01-01")
 
 
@@ -52,7 +52,9 @@ def _fit_each(fx: DataFrame, keys: tuple[str, ...], name: str, rank: int, horizo
         except (m.CannotFit, np.linalg.LinAlgError) as e:
             return pd.DataFrame([head | {"step": None, "ds": None, "yhat": None, "yhat_lower": None, "yhat_upper": None, "error": str(e)}])
 
-    return fx.select(*keys, "ds", "y").groupBy(*keys).applyInPandas(run, _schema(fx, keys))
+    # a number of tasks of its own: fits take long and rows are few, so a shuffle's size says nothing about the work
+    tasks = int(fx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fx.select(*keys, "ds", "y").repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, _schema(fx, keys))
 
 
 def trend_model(changepoint_prior: float = 0.05, interval_width: float = 0.8, holidays: list | None = None, name: str = "trend", rank: int = 0) -> Model:
@@ -95,11 +97,16 @@ def baseline_model(kind: str = "last", name: str | None = None, rank: int = 0) -
     return model
 
 
-def forecast_all(fx: DataFrame, models: Mapping[str, Model], horizon: int, keys: tuple[str, ...] = KEYS, series: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Forecasts of all models that fit, and errors: for each failure, for series that no model fits, and for series without data."""
+def forecast_all(fx: DataFrame, models: Mapping[str, Model], horizon: int, keys: tuple[str, ...] = KEYS, series: DataFrame | None = None, kept: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Forecasts of all models that fit, and errors: for each failure, for series that no model fits, and for series without data.
+
+    What the models give is kept, so that each series is fit once for both tables; ``kept`` gets it, to be freed later.
+    """
     if not 1 <= horizon <= 30:
         raise ValueError("the horizon is 1 to 30 days")
-    every = reduce(lambda a, b: a.unionByName(b), [model(fx, horizon, keys) for model in models.values()])
+    every = reduce(lambda a, b: a.unionByName(b), [model(fx, horizon, keys) for model in models.values()]).persist(StorageLevel.MEMORY_AND_DISK)
+    if kept is not None:
+        kept.append(every)
     good = every.where(F.col("error").isNull()).drop("error")
     failed = every.where(F.col("error").isNotNull())
     stage = F.lit("forecast").alias("stage")
@@ -146,7 +153,7 @@ def walk_forward_eval(fx: DataFrame, model: Model, h: int = 7, k: int = 4) -> tu
     """Accuracy by fold, and errors (folds that can't be fit, or whose forecast dates meet no rate)."""
     folds = walk_forward_folds(fx, h, k)
     keys = ("series_id", "fold")
-    every = model(folds.where("part = 'train'"), h, keys)
+    every = model(folds.where("part = 'train'"), h, keys).persist(StorageLevel.MEMORY_AND_DISK)  # fit once for metrics and errors
     test = folds.where("part = 'test'")
     sizes = test.groupBy(*keys).agg(F.count("*").alias("rows"))
     forecasts = every.where(F.col("error").isNull()).join(sizes, list(keys)).where(F.col("step") <= F.col("rows"))

@@ -47,8 +47,8 @@ def run_daily(fx: DataFrame, articles: DataFrame, run_date: date, horizon: int =
     spark, day = fx.sparkSession, run_date.isoformat()
     recent = panel.lookback(fx, run_date, lookback_days).repartition("series_id").persist(StorageLevel.MEMORY_AND_DISK)
     summary = panel.fx_summary(recent)
-    every, failed = fc.forecast_all(recent, models, horizon, series=fx.select("series_id").distinct())
-    forecasts = every.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [recent]
+    forecasts, failed = fc.forecast_all(recent, models, horizon, series=fx.select("series_id").distinct(), kept=kept)
     ensemble, uneven = fc.ensemble(forecasts)
     metrics = fc.backtest(recent, models, horizon)
 
@@ -58,6 +58,7 @@ def run_daily(fx: DataFrame, articles: DataFrame, run_date: date, horizon: int =
         told = latest.select("batch").distinct().select(F.col("batch").alias("run_date"), F.lit(news.NO_ANALYSIS).alias("narrative"))
     else:
         replies = news.call_model(news.build_digest(latest, "batch", "narrative", index_base=0), model_reply).persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(replies)
         told = news.parse_reply(replies).select(F.col("batch").alias("run_date"), "narrative")
         arrays = replies.select("batch", F.split("raw", "---", 2)[0].alias("raw"))
         analyzed = news.classify(latest, arrays)
@@ -65,4 +66,4 @@ def run_daily(fx: DataFrame, articles: DataFrame, run_date: date, horizon: int =
     reports = report.build_reports(summary, narrative, ensemble, metrics, day, horizon, series=fx)
     outbox, too_long = post_outbox(report.build_posts(reports), publish)
     errors = panel.summary_errors(summary).unionByName(failed).unionByName(uneven).unionByName(panel.grid_errors(recent)).unionByName(too_long)
-    return Daily(summary, forecasts, ensemble, metrics, analyzed, reports, outbox, errors, [recent, forecasts])
+    return Daily(summary, forecasts, ensemble, metrics, analyzed, reports, outbox, errors, kept)
