@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ratewatch.operators import forecast as fc
 from ratewatch.operators import news, panel, report
+from ratewatch.plans.steps import written
+from ratewatch.sources.news import read_news_json, read_rss
+from ratewatch.sources.rates import read_rates_json, with_fallback
 from ratewatch.sources.sinks import post_outbox
 
 
@@ -33,11 +36,13 @@ class Daily:
             df.unpersist()
 
 
-def run_daily(fx: DataFrame, articles: DataFrame, run_date: date, horizon: int = 7, models: Mapping[str, fc.Model] | None = None, model_reply: Callable[[list[str]], list[str]] | None = None, most_articles: int = news.MOST_ARTICLES, lookback_days: int = panel.LOOKBACK_DAYS, publish: bool = False) -> Daily:
+def run_daily(fx: DataFrame, articles: DataFrame, run_date: date, horizon: int = 7, models: Mapping[str, fc.Model] | None = None, model_reply: Callable[[list[str]], list[str]] | None = None, most_articles: int = news.MOST_ARTICLES, lookback_days: int = panel.LOOKBACK_DAYS, publish: bool = False, source_errors: DataFrame | None = None) -> Daily:
     """All tables of one run.
 
     The rates within the look-back are dealt out by series once; summary, models and back-test use that. Without
     ``model_reply`` (texts in, texts out) articles are labelled by keywords. One branch's failures leave the other alone.
+    Replies are written before they are used, so no digest is sent twice. Errors of the readers come in as
+    ``source_errors (series_id, stage, message)``; a failed reply is an error of the stage ``news``.
     """
     if lookback_days < 30:
         raise ValueError("look back 30 days or more")
@@ -57,8 +62,7 @@ def run_daily(fx: DataFrame, articles: DataFrame, run_date: date, horizon: int =
         analyzed = news.classify_keywords(news.number_articles(latest, "batch"))
         told = latest.select("batch").distinct().select(F.col("batch").alias("run_date"), F.lit(news.NO_ANALYSIS).alias("narrative"))
     else:
-        replies = news.call_model(news.build_digest(latest, "batch", "narrative", index_base=0), model_reply).persist(StorageLevel.MEMORY_AND_DISK)
-        kept.append(replies)
+        replies = written(news.call_model(news.build_digest(latest, "batch", "narrative", index_base=0), model_reply), "replies")
         told = news.parse_reply(replies).select(F.col("batch").alias("run_date"), "narrative")
         arrays = replies.select("batch", F.split("raw", "---", 2)[0].alias("raw"))
         analyzed = news.classify(latest, arrays)
@@ -66,4 +70,27 @@ def run_daily(fx: DataFrame, articles: DataFrame, run_date: date, horizon: int =
     reports = report.build_reports(summary, narrative, ensemble, metrics, day, horizon, series=fx)
     outbox, too_long = post_outbox(report.build_posts(reports), publish)
     errors = panel.summary_errors(summary).unionByName(failed).unionByName(uneven).unionByName(panel.grid_errors(recent)).unionByName(too_long)
+    if model_reply is not None:
+        errors = errors.unionByName(replies.where(F.col("raw").isNull()).select(F.col("batch").alias("series_id"), F.lit("news").alias("stage"), F.lit("the model gave no reply").alias("message")))
+    if source_errors is not None:
+        errors = errors.unionByName(source_errors)
     return Daily(summary, forecasts, ensemble, metrics, analyzed, reports, outbox, errors, kept)
+
+
+def run_landed(spark: SparkSession, rates: str, run_date: date, feeds: Sequence[str] = (), answers: Sequence[str] = (), spare: DataFrame | None = None, **options) -> Daily:
+    """``run_daily`` from landed files: rates as JSON, RSS ``feeds`` and JSON ``answers``, in this order of arrival.
+
+    A series without readable rates comes from ``spare (series_id, ds, y)`` as a whole. What can't be read is an error row.
+    """
+    fx, errors = read_rates_json(spark, rates)
+    if spare is not None:
+        fx = with_fallback(fx, spare)
+    run_ts = F.lit(run_date.isoformat()).cast("timestamp")
+    read = [read(spark, path, run_ts, rank) for rank, (read, path) in enumerate([*((read_rss, p) for p in feeds), *((read_news_json, p) for p in answers)])]
+    if read:
+        articles = news.union_feeds(*(rows for rows, _ in read))
+    else:
+        articles = spark.createDataFrame([], "url string, title string, summary string, published_at timestamp, source string, tags array<string>, feed_rank int, entry_seq long")
+    for _, unread in read:
+        errors = errors.unionByName(unread)
+    return run_daily(fx, articles, run_date, source_errors=errors, **options)

@@ -12,7 +12,7 @@ from ratewatch.functions import any_keyword, day_first_date, decimal_number, gua
 from ratewatch.operators import forecast as fc
 from ratewatch.operators import models as m
 from ratewatch.operators import news, panel, report
-from ratewatch.plans.daily import run_daily
+from ratewatch.plans.daily import run_daily, run_landed
 from ratewatch.sources import rates, sinks
 from ratewatch.sources.news import read_news_json, read_rss
 
@@ -256,9 +256,47 @@ def test_daily_run(spark):
     run = run_daily(fx, articles, date(2023, 12, 15), 3, model_reply=fails)
     assert run.ensemble.count() == 3 and news.NO_ANALYSIS in run.reports.first().report
     assert {r.severity for r in run.analyzed.collect()} == {"low", "high"}
+    assert [(r.series_id, r.stage) for r in run.errors.collect()] == [("2023-12-15", "news")]
     run.close()
 
 
+def test_a_reply_is_asked_for_once(spark, tmp_path):
+    asked = str(tmp_path / "asked")
+
+    def reply(texts):
+        with open(asked, "a") as f:
+            f.write("x")
+        return ["[]\n---\nCalm." for _ in texts]
+
+    run = run_daily(series(spark, 60), article(spark, [("u1", "deficit", "trade", RUN, 0, 0)]), date(2023, 3, 20), 3, {"last": fc.baseline_model()}, model_reply=reply)
+    assert "Calm." in run.reports.first().report
+    run.close()  # what was only kept is gone, as with a lost executor
+    assert run.analyzed.count() == 1 and run.errors.count() == 0 and "Calm." in run.reports.first().report
+    assert open(asked).read() == "x"
+
+
+def test_daily_run_from_landed_files(spark, tmp_path):
+    import json
+
+    (tmp_path / "rates").mkdir()
+    days = {str(d): {"4. close": str(4000 + i)} for i, d in enumerate(business_days(60))}
+    (tmp_path / "rates" / "good.json").write_text(json.dumps({"Time Series FX (Daily)": days}))
+    (tmp_path / "rates" / "limit.json").write_text('{"Note": "too many calls"}')
+    (tmp_path / "feed.xml").write_text("<rss><channel><title>Feed</title><item><title>oil</title><link>u1</link></item></channel></rss>")
+    (tmp_path / "answer.json").write_text('{"articles":[{"title":"t","url":"u2"},{"title":"again","url":"u1"}]}')
+    (tmp_path / "broken.json").write_text("{{{")
+    models = {"last": fc.baseline_model()}
+    at = lambda *names: [str(tmp_path / n) for n in names]
+    run = run_landed(spark, str(tmp_path / "rates"), date(2023, 3, 25), at("feed.xml"), at("answer.json", "broken.json"), series(spark, 60, name="limit"), models=models)
+    assert {r.series_id for r in run.reports.collect()} == {"good", "limit"}
+    assert {(r.title, r.severity) for r in run.analyzed.collect()} == {("oil", "high"), ("t", "low")}
+    assert sorted((r.stage, r.message) for r in run.errors.collect()) == [("news", "unreadable file"), ("rates", "too many calls")]
+    run.close()
+    bare = run_landed(spark, str(tmp_path / "rates"), date(2023, 3, 25), models=models)
+    assert bare.analyzed.count() == 0 and news.NO_NEWS in bare.reports.first().report
+    bare.close()
+
+
 def test_report_texts(spark):
     summary = spark.createDataFrame([("a", 4050.0, 1.25)], "series_id string, latest_rate double, rate_change_pct double")
     told = spark.createDataFrame([("2024-06-01", "Steady.")], "run_date string, narrative string")
