@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewatch.operators import forecast as fc
 from ratewatch.operators import news, panel, report
+from ratewatch.plans import landed  # noqa: F401  registers its queries
 from ratewatch.plans import tables as t
+from ratewatch.plans.registry import QUERIES, SQL, Query, query
 from ratewatch.sources.rates import with_fallback
 from ratewatch.sources.sinks import post_outbox
 
 AS_OF, HORIZON = date(2001, 8, 1), 7
 KEYWORDS = [*news.KEYWORDS, "license"]
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
 
 
 def _r(places: int, *names: str):
@@ -173,6 +160,19 @@ def news_digest(spark, sf_dir):
     return news.build_digest(t.articles(spark, sf_dir), "source", "narrative")
 
 
+def _stub(digests: list[str]) -> list[str]:
+    """In a model's place: fails for some digests."""
+    if len(digests[0]) % 5 == 0:
+        raise ValueError("no reply")
+    return [f"read {len(d)}" for d in digests]
+
+
+@query(f"SELECT batch, CASE WHEN length(digest) % 5 <> 0 THEN 'read ' || length(digest) END AS raw FROM ({SQL['news_digest']})")
+def news_model_calls(spark, sf_dir):
+    """A stub replies to each source's digest; where it fails, that reply alone is null."""
+    return news.call_model(news.build_digest(t.articles(spark, sf_dir), "source", "narrative"), _stub)
+
+
 _BAD = "feed_rank % 5 = 4"
 
 
@@ -307,6 +307,13 @@ def fc_all(spark, sf_dir):
     return fc.forecast_all(t.nation_panel(spark, sf_dir), _models(), HORIZON)[0]
 
 
+@query(t.with_tables(f"SELECT series_id, model_name, model_rank, step, ds, true AS in_band FROM ({_FUTURE.format(panel='nation_panel')}) CROSS JOIN (VALUES ('trend', 0), ('arima', 1)) v(model_name, model_rank)", "nation_panel"))
+def fc_all_days(spark, sf_dir):
+    """What holds for both models' forecasts whatever the rates: their days and steps, and a band around the forecast."""
+    in_band = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    return fc_all(spark, sf_dir).select("series_id", "model_name", "model_rank", "step", "ds", in_band.alias("in_band"))
+
+
 @query()
 def fc_walk_forward(spark, sf_dir):
     return fc.walk_forward_eval(t.nation_panel(spark, sf_dir), fc.arima_model())[0]
@@ -373,8 +380,8 @@ def article_view(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

@@ -15,6 +15,11 @@ _PAYLOAD = f"`{SERIES}` map<string,map<string,string>>, `Error Message` string,
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """``series_id`` (the file's name without its ending) and the parsed ``payload`` of each JSON file."""
     raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("series_id"), "value")
+    return parse_payloads(raw)
+
+
+def parse_payloads(raw: DataFrame) -> DataFrame:
+    """``series_id, payload`` of ``series_id, value`` (JSON texts)."""
     return raw.select("series_id", F.from_json("value", _PAYLOAD).alias("payload"))
 
 
