@@ -7,6 +7,7 @@ can't fit gives one row with an ``error``. The keys say what one series is: ``se
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from datetime import date
 from functools import reduce
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window as W
 
 from ratewatch.functions import guarded_ratio
 from ratewatch.operators import models as m
+from ratewatch.operators.holidays import colombian
 from ratewatch.operators.panel import future_business_days, holdout_split, to_business_days
 
 FORECAST = "model_name string, model_rank int, step int, ds date, yhat double, yhat_lower double, yhat_upper double, error string"
@@ -57,14 +59,24 @@ def _fit_each(fx: DataFrame, keys: tuple[str, ...], name: str, rank: int, horizo
     return fx.select(*keys, "ds", "y").repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, _schema(fx, keys))
 
 
-def trend_model(changepoint_prior: float = 0.05, interval_width: float = 0.8, holidays: list | None = None, name: str = "trend", rank: int = 0) -> Model:
-    """Trend, weekly and yearly seasons, and holidays (dates; a short list), on the rows as they are, weekends included."""
-    free = np.array([(np.datetime64(d, "D") - _DAY0).astype(int) for d in holidays or []])
+def trend_model(changepoint_prior: float = 0.05, interval_width: float = 0.8, holidays: Callable[[int], Mapping[str, date]] | None = colombian, name: str = "trend", rank: int = 0) -> Model:
+    """Trend, weekly and yearly seasons, and holidays, on the rows as they are, weekends included.
+
+    ``holidays`` gives those of a year by name; each name has an effect of its own. None: no holidays.
+    """
+
+    def free(first: np.datetime64, last: np.datetime64) -> list[np.ndarray]:
+        days: dict[str, list[int]] = {}
+        for year in range(first.astype(object).year, last.astype(object).year + 1) if holidays else ():
+            for name, day in holidays(year).items():
+                days.setdefault(name, []).append(int((np.datetime64(day, "D") - _DAY0).astype(int)))
+        return [np.array(d) for d in days.values()]
 
     def model(fx: DataFrame, horizon: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
         def fit(rows, ahead):
-            days = (rows["ds"].to_numpy("datetime64[D]") - _DAY0).astype(float)
-            return m.trend_forecast(days, rows["y"].to_numpy(float), (ahead - _DAY0).astype(float), free, changepoint_prior, interval_width)
+            days = rows["ds"].to_numpy("datetime64[D]")
+            off = free(days[0], ahead[-1])
+            return m.trend_forecast((days - _DAY0).astype(float), rows["y"].to_numpy(float), (ahead - _DAY0).astype(float), off, changepoint_prior, interval_width)
 
         return _fit_each(fx.where(F.col("y").isNotNull()), keys, name, rank, horizon, fit)
 

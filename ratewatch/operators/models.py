@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 #: How many yearly and weekly Fourier terms, changepoints, and over which part of the history.
@@ -18,13 +20,13 @@ def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-def _seasons(days: np.ndarray, holidays: np.ndarray) -> np.ndarray:
+def _seasons(days: np.ndarray, holidays: Sequence[np.ndarray]) -> np.ndarray:
     columns = [f(2 * np.pi * k * days / period) for period, n in ((365.25, YEARLY), (7.0, WEEKLY)) for k in range(1, n + 1) for f in (np.sin, np.cos)]
-    return np.stack([*columns, np.isin(days, holidays).astype(float)], axis=1)
+    return np.stack([*columns, *(np.isin(days, h).astype(float) for h in holidays)], axis=1)
 
 
-def trend_forecast(days: np.ndarray, y: np.ndarray, future: np.ndarray, holidays: np.ndarray, prior: float = 0.05, width: float = 0.8, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piecewise-linear trend times one plus seasons; days are numbers of days.
+def trend_forecast(days: np.ndarray, y: np.ndarray, future: np.ndarray, holidays: Sequence[np.ndarray], prior: float = 0.05, width: float = 0.8, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piecewise-linear trend times one plus seasons; days are numbers of days, and each holiday (its days) has an effect of its own.
 
     The most likely parameters by turns: the trend's (slopes may change at set points, under a Laplace prior that is
     fit by reweighting) given the seasons, and the seasons' (Gaussian prior) given the trend. The band has the residuals'

@@ -12,6 +12,7 @@ from ratewatch.functions import any_keyword, day_first_date, decimal_number, gua
 from ratewatch.operators import forecast as fc
 from ratewatch.operators import models as m
 from ratewatch.operators import news, panel, report
+from ratewatch.operators.holidays import colombian, easter
 from ratewatch.plans.daily import run_daily, run_landed
 from ratewatch.sources import rates, sinks
 from ratewatch.sources.news import read_news_json, read_rss
@@ -206,6 +207,25 @@ def test_models_find_their_own_parameters():
     assert np.abs(yhat / weekly[700:] - 1).max() < 0.01
 
 
+def test_holidays_follow_their_rules():
+    assert [easter(y) for y in (2000, 2008, 2019, 2024, 2025, 2038)] == [date(2000, 4, 23), date(2008, 3, 23), date(2019, 4, 21), date(2024, 3, 31), date(2025, 4, 20), date(2038, 4, 25)]
+    of = colombian(2024)
+    assert len(of) == 18 and of["Epiphany"] == date(2024, 1, 8) and of["Saint Joseph"] == date(2024, 3, 25) and of["Cartagena"] == date(2024, 11, 11)
+    assert (of["Good Friday"], of["Ascension"], of["Corpus Christi"], of["Sacred Heart"]) == (date(2024, 3, 29), date(2024, 5, 13), date(2024, 6, 3), date(2024, 6, 10))
+
+
+def test_each_holiday_has_its_own_effect(spark):
+    """Two holidays with opposite effects; their days of the last year are forecast."""
+    off = lambda year: {"up": date(year, 3, 12), "down": date(year, 3, 14)}
+    days = [d for d in business_days(1100, "2020-01-01") if d < date(2024, 3, 12)]
+    y = {d: 4000 + 400 * (d == off(d.year)["up"]) - 400 * (d == off(d.year)["down"]) for d in days}
+    fx = spark.createDataFrame([("a", d, float(y[d])) for d in days], FX)
+    got = {r.ds: r.yhat for r in fc.trend_model(holidays=off)(fx, 5).collect()}
+    plain = {r.ds: r.yhat for r in fc.trend_model(holidays=None)(fx, 5).collect()}
+    assert got[date(2024, 3, 12)] > 4200 and got[date(2024, 3, 14)] < 3800
+    assert abs(plain[date(2024, 3, 12)] - 4000) < 200
+
+
 def test_accuracy(spark):
     fx = series(spark, 10)
     rows = [("a", "m", 0, i + 1, r.ds, r.y, r.y, r.y) for i, r in enumerate(fx.collect()[-5:])] + [("a", "late", 0, 1, date(2030, 1, 1), 1.0, 1.0, 1.0)]
