@@ -55,7 +55,7 @@ def run_daily(fx: DataFrame, articles: DataFrame, run_date: date, horizon: int =
     kept = [recent]
     forecasts, failed = fc.forecast_all(recent, models, horizon, series=fx.select("series_id").distinct(), kept=kept)
     ensemble, uneven = fc.ensemble(forecasts)
-    metrics = fc.backtest(recent, models, horizon)
+    metrics, _ = fc.backtest(recent, models, horizon, kept=kept)
 
     latest = news.latest_articles(news.dedup_by_url(articles), most_articles).withColumn("batch", F.lit(day))
     if model_reply is None:

@@ -5,7 +5,7 @@ import pytest
 from ratewatch.plans.queries import queries
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"fc_trend", "fc_arima", "fc_all", "fc_walk_forward", "fc_backtest", "fc_all_days", "news_model_calls"}
+PYTHON = {"fc_trend", "fc_arima", "fc_all", "fc_walk_forward", "fc_backtest", "fc_all_days", "fc_ma_profile", "news_model_calls"}
 
 
 def plan(spark, name):
@@ -26,3 +26,12 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters" in text and "o_custkey" not in text
     assert "WindowGroupLimit" in plan(spark, "news_latest_per_source")
     assert "TakeOrderedAndProject" in plan(spark, "news_latest")
+
+
+@pytest.mark.parametrize("name", ["fc_trend", "fc_arima", "fc_walk_forward", "fc_ma_profile"])
+def test_series_go_through_in_batches(spark, name):
+    """One exchange and one sort before the model, no pandas group a series, and no copy of a row for each fold."""
+    text = plan(spark, name)
+    assert "InPandas" not in text and "MapInArrow" in text
+    model = text.split("MapInArrow", 1)[1].split("HashAggregate", 1)[0]
+    assert model.count("Exchange") == 1 and "Generate" not in model and "Window" not in model
