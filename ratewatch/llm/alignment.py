@@ -436,7 +436,7 @@ def scores(aligned: DataFrame, counts: DataFrame) -> DataFrame:
         if held is not None:
             yield out()
 
-    postings = aligned.where("pair is not null").select("block", "pair", "plane", "bits").join(counts.select("pair", "links", "best"), "pair")
+    postings = aligned.where("pair is not null").select("block", "pair", "plane", "bits").join(counts.select("pair", "links", "best").hint("merge"), "pair")  # pairs have no proven bound to be sent around
     dealt = postings.select("block", "plane", "bits", "links", "best").repartition("block").sortWithinPartitions("block")
     return dealt.mapInArrow(run, "block long, document int, n_best long, count_sum long")
 
