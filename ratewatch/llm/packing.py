@@ -10,7 +10,8 @@ so nothing is shuffled and no group can grow without bound.
 Instruction data bear loss only after the prompt: a document's first ids, by a column or as a share of its ids. A sequence
 whose loss limit is reached goes on with prompts.
 
-At the end of a partition the rest is packed into sequences whose sizes are powers of two, which need no padding.
+A sequence that the limit on segments or on loss ends early, as among very short texts, is cut to the largest power of two that
+its tokens fill, which needs no padding; so is the rest at the end of a partition.
 
 Defined results: a null text counts as empty, and an empty text still gives its end id, a piece of one token;
 repeated rows (and equal doc_ids) are packed once each; an empty table gives an empty table.
@@ -32,6 +33,8 @@ from ratewatch.llm.common import text_slices
 
 #: Fixed value: pre-tokens as the vocabulary's public description gives them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A sequence may be padded by one token in so many; a shorter one gets the size of a power of two.
+PADDING = 64
 #: Longer texts go through this library's own encoder, which has no recursion in its pre-tokens.
 LONG_TEXT = 400_000
 
@@ -130,6 +133,21 @@ class Pool:
                 self.add((key, start + n, ids[n:], total, loss_from))
             chosen.append((key, start, ids[:n], total, loss_from))
             room -= self._vector(chosen[-1])
+        return self._trimmed(chosen, tokens)
+
+    def _trimmed(self, chosen: list[tuple], tokens: int) -> list[tuple]:
+        """Where a limit ends a sequence well before its size, as many tokens as the largest power of two; the rest waits again."""
+        total = sum(len(item[2]) for item in chosen)
+        if not total or PADDING * (tokens - total) <= tokens:
+            return chosen
+        over = total - (1 << (total.bit_length() - 1))
+        while over:
+            key, start, ids, whole, loss_from = chosen.pop()
+            n = max(0, len(ids) - over)
+            over -= len(ids) - n
+            self.add((key, start + n, ids[n:], whole, loss_from))
+            if n:
+                chosen.append((key, start, ids[:n], whole, loss_from))
         return chosen
 
 

@@ -44,8 +44,8 @@ def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Sequences of op6 and the pipeline: the first quarter of each document is its prompt, without loss; seven eighths of a
-#: sequence may bear loss; and it has at most 10 segments.
-SEQUENCE, PROMPT_SHARE = packing.Limits(tokens=2048, segments=10, loss_tokens=1792), 0.25
+#: sequence may bear loss; and it has at most 64 segments.
+SEQUENCE, PROMPT_SHARE = packing.Limits(tokens=2048, segments=64, loss_tokens=1792), 0.25
 
 
 def packed(docs: DataFrame) -> DataFrame:

@@ -175,11 +175,25 @@ def test_little_padding(spark):
     _, sequences = check_packing(rows, SEQUENCE)
     loads = [sum(r.loss_tokens for r in s) for s in sequences.values()]
     assert np.mean([n == SEQUENCE.loss_tokens for n in loads]) > 0.1  # the loss limit decides
-    assert any(len(s) == SEQUENCE.segments for s in sequences.values())
     padded = sum(2048 - n for s in sequences.values() if (n := sum(r.length for r in s)) & (n - 1))
     assert padded < 0.005 * sum(r.length for r in rows)
 
 
+@pytest.mark.parametrize("lengths", [[3], [1], [2, 3000], [1, 40, 700]])
+def test_little_padding_whatever_the_lengths(spark, lengths):
+    """Very short texts end sequences by their number; such a sequence gets a size without padding."""
+    texts = [" ".join(["rate"] * lengths[i % len(lengths)]) for i in range(20_000 if max(lengths) < 10 else 600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = packing.pack_documents(docs, BYTE_BPE, SEQUENCE, prompt_share=0.25).collect()
+    by_doc, sequences = check_packing(rows, SEQUENCE)
+    assert all(sum(p.length for p in pieces) == n for (_, n), pieces in by_doc.items())
+    total = sum(r.length for r in rows)
+    padded = sum(2048 - n for s in sequences.values() if (n := sum(r.length for r in s)) & (n - 1))
+    assert padded < 0.01 * total
+    if max(lengths) < 10:
+        assert np.mean([len(s) == SEQUENCE.segments for s in sequences.values()]) > 0.1
+
+
 def test_packing_query_against_the_library(spark, library):
     import zlib
 
