@@ -13,7 +13,7 @@ from pyspark.storagelevel import StorageLevel
 from ratewatch.operators import forecast as fc
 from ratewatch.operators import news, panel, report
 from ratewatch.plans.steps import written
-from ratewatch.sources.news import read_news_json, read_rss
+from ratewatch.sources.news import read_feeds, read_news_json
 from ratewatch.sources.rates import read_rates_json, with_fallback
 from ratewatch.sources.sinks import post_outbox
 
@@ -78,7 +78,7 @@ def run_daily(fx: DataFrame, articles: DataFrame, run_date: date, horizon: int =
 
 
 def run_landed(spark: SparkSession, rates: str, run_date: date, feeds: Sequence[str] = (), answers: Sequence[str] = (), spare: DataFrame | None = None, **options) -> Daily:
-    """``run_daily`` from landed files: rates as JSON, RSS ``feeds`` and JSON ``answers``, in this order of arrival.
+    """``run_daily`` from landed files: rates as JSON, RSS or Atom ``feeds`` and JSON ``answers``, in this order of arrival.
 
     A series without readable rates comes from ``spare (series_id, ds, y)`` as a whole. What can't be read is an error row.
     """
@@ -86,7 +86,7 @@ def run_landed(spark: SparkSession, rates: str, run_date: date, feeds: Sequence[
     if spare is not None:
         fx = with_fallback(fx, spare)
     run_ts = F.lit(run_date.isoformat()).cast("timestamp")
-    read = [read(spark, path, run_ts, rank) for rank, (read, path) in enumerate([*((read_rss, p) for p in feeds), *((read_news_json, p) for p in answers)])]
+    read = [read(spark, path, run_ts, rank) for rank, (read, path) in enumerate([*((read_feeds, p) for p in feeds), *((read_news_json, p) for p in answers)])]
     if read:
         articles = news.union_feeds(*(rows for rows, _ in read))
     else:

@@ -16,7 +16,7 @@ from ratewatch.plans import tables as t
 from ratewatch.plans.registry import query
 from ratewatch.plans.steps import shared_folder
 from ratewatch.sources import rates
-from ratewatch.sources.news import read_news_json, read_rss
+from ratewatch.sources.news import read_feeds, read_news_json
 from ratewatch.sources.sinks import write_reports
 
 #: Articles in a feed or an answer.
@@ -135,24 +135,45 @@ def _told(articles: DataFrame) -> DataFrame:
 
 @query(_ARTICLE_SQL.format(when=f"CASE WHEN doc_id % 13 = 0 THEN {RUN_S} WHEN doc_id % 3 = 1 THEN {_HOURS} + 18000 ELSE {_HOURS} END", source="'feed ' || block", rank=3, feed="block"))
 def news_rss(spark, sf_dir):
-    """Documents as RSS files, a hundred in each; some files can't be read, and items lack parts or dates."""
+    """Documents as RSS and Atom files, a hundred in each; some files can't be read, and items lack parts or dates."""
+    return _told(read_feeds(spark, _feeds(spark, sf_dir), F.lit(RUN).cast("timestamp"), feed_rank=3)[0])
+
+
+def _feeds(spark, sf_dir, some_empty: bool = False) -> str:
+    """The path of feeds: every third is Atom, some break at their first entry, and some may be empty."""
     tag = lambda name, c: F.coalesce(F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>")), F.lit(""))
+    atom = F.col("block") % 3 == 1
     docs = _documents(spark, sf_dir)
-    zone = F.when(F.col("doc_id") % 3 == 1, F.lit(" -0500")).otherwise(F.lit(" GMT"))
-    when = F.when(F.col("doc_id") % 13 == 0, F.lit("soon")).otherwise(F.concat(F.date_format("hour", "EEE, dd MMM yyyy HH:mm:ss"), zone))
+    west = F.col("doc_id") % 3 == 1
+    when = F.when(F.col("doc_id") % 13 == 0, F.lit("soon")).otherwise(F.concat(F.date_format("hour", "EEE, dd MMM yyyy HH:mm:ss"), F.when(west, F.lit(" -0500")).otherwise(F.lit(" GMT"))))
+    iso = F.when(F.col("doc_id") % 13 == 0, F.lit("soon")).otherwise(F.concat(F.date_format("hour", "yyyy-MM-dd'T'HH:mm:ss"), F.when(west, F.lit("-05:00")).otherwise(F.lit("Z"))))
     item = F.concat(F.lit("<item>"), tag("title", F.col("title")), tag("link", F.col("url")), tag("description", F.col("summary")), tag("pubDate", when), F.lit("</item>"))
-    items = docs.groupBy("block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("item")))), lambda x: x["item"]), "").alias("items"))
-    broken = F.when(F.col("block") % 7 == 3, F.replace("items", F.lit("</item>"), F.lit("</itm>"))).otherwise(F.col("items"))
-    feeds = items.select("block", F.concat(F.lit("<channel><title>feed "), F.col("block").cast("string"), F.lit("</title>"), broken, F.lit("</channel>")).alias("value"))
-    return _told(read_rss(spark, _landed(feeds, "rss", "block"), F.lit(RUN).cast("timestamp"), feed_rank=3)[0])
+    entry = F.concat(F.lit("<entry>"), tag("title", F.col("title")), F.lit("<link rel='self' href='x'/><link href='"), F.col("url"), F.lit("'/>"), tag("summary", F.col("summary")), tag("updated", iso), F.lit("</entry>"))
+    items = docs.groupBy("block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.when(atom, entry).otherwise(item).alias("item")))), lambda x: x["item"]), "").alias("items"))
+    broken = F.when(F.col("block") % 7 == 3, F.regexp_replace("items", "</(item|entry)>", "</itm>")).otherwise(F.col("items"))
+    if some_empty:
+        broken = F.when(F.col("block") % 5 == 1, F.lit("")).otherwise(broken)
+    title = F.concat(F.lit("<title>feed "), F.col("block").cast("string"), F.lit("</title>"))
+    rss, feed = F.concat(F.lit("<rss><channel>"), title, broken, F.lit("</channel></rss>")), F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'>"), title, broken, F.lit("</feed>"))
+    return _landed(items.select("block", F.when(atom, feed).otherwise(rss).alias("value")), "feeds", "block")
+
+
+@query(f"SELECT DISTINCT CAST(block AS VARCHAR) AS block, 'news' AS stage, CASE WHEN block % 5 = 1 THEN 'no entries' ELSE 'broken after 0 entries' END AS message FROM {_DOC} WHERE block % 7 = 3 OR block % 5 = 1")
+def news_feed_errors(spark, sf_dir):
+    """Files that are empty or break off are errors, each with its name."""
+    errors = read_feeds(spark, _feeds(spark, sf_dir, some_empty=True), F.lit(RUN).cast("timestamp"))[1]
+    return errors.select(F.regexp_extract("series_id", r"block=(\d+)", 1).alias("block"), "stage", F.split("message", ":")[0].alias("message"))
 
 
-def _answers(spark, sf_dir) -> str:
-    """The path of JSON answers, a hundred documents in each; some can't be read."""
+def _answers(spark, sf_dir, half: bool = False) -> str:
+    """The path of JSON answers, a hundred documents in each; some can't be read, and in some articles the source may be no object."""
     when = F.when(F.col("doc_id") % 13 != 0, F.concat(F.date_format("hour", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).alias("publishedAt")
     source = F.struct(F.when(F.col("doc_id") % 17 != 0, F.col("source")).alias("name")).alias("source")
-    article = F.struct("doc_id", F.col("title"), F.col("summary").alias("description"), "url", when, source)
-    answers = _documents(spark, sf_dir).groupBy("block").agg(F.to_json(F.struct(F.sort_array(F.collect_list(article)).alias("articles"))).alias("json"))
+    article = F.to_json(F.struct("doc_id", F.col("title"), F.col("summary").alias("description"), "url", when, source))
+    if half:
+        article = F.when(F.col("doc_id") % 29 == 5, F.regexp_replace(article, r'"source":\{[^}]*\}', '"source":"one"')).otherwise(article)
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", article.alias("json")))), lambda x: x["json"]), ",")
+    answers = _documents(spark, sf_dir).groupBy("block").agg(F.concat(F.lit('{"articles":['), listed, F.lit("]}")).alias("json"))
     return _landed(answers.select("block", F.when(F.col("block") % 7 == 3, F.lit("{cut off")).otherwise(F.col("json")).alias("value")), "answers", "block")
 
 
@@ -167,6 +188,19 @@ def news_answer_errors(spark, sf_dir):
     return errors.select(F.regexp_extract("series_id", r"block=(\d+)", 1).alias("block"), "stage", "message")
 
 
+@query(
+    f"""WITH placed AS (SELECT block, doc_id % 29 = 5 AS bad, row_number() OVER (PARTITION BY block ORDER BY doc_id) - 1 AS place FROM {_DOC})
+SELECT 'articles' AS message, NULL AS block, count(*) AS n FROM placed WHERE block % 7 <> 3 AND NOT bad UNION ALL
+SELECT DISTINCT 'unreadable file', CAST(block AS VARCHAR), 1 FROM placed WHERE block % 7 = 3 UNION ALL
+SELECT 'unreadable article ' || place, CAST(block AS VARCHAR), 1 FROM placed WHERE block % 7 <> 3 AND bad"""
+)
+def news_half_answers(spark, sf_dir):
+    """Articles of all files, and each error: an article that can't be read costs no other one."""
+    articles, errors = read_news_json(spark, _answers(spark, sf_dir, half=True), F.lit(RUN).cast("timestamp"))
+    failed = errors.groupBy("message", F.regexp_extract("series_id", r"block=(\d+)", 1).alias("block")).agg(F.count("*").alias("n"))
+    return articles.agg(F.lit("articles").alias("message"), F.lit(None).cast("string").alias("block"), F.count("*").alias("n")).unionByName(failed)
+
+
 # -- reports
 
 _DAYS = "2001-08-01", "2001-08-02"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewatch.functions import day_first_date, decimal_number, map_value
+from ratewatch.sources.markup import read_table_files
 
 #: Names in the payloads.
 SERIES, CLOSE = "Time Series FX (Daily)", "4. close"
@@ -42,11 +43,11 @@ def rates_of(payloads: DataFrame) -> DataFrame:
 
 
 def read_rates_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Rates of all readable payloads, and errors. A payload with a rate that is no number fails as a whole."""
+    """Rates of all readable payloads, and errors. A payload with a date or rate that can't be read fails as a whole."""
     good, errors = split_payload_errors(read_payloads(spark, path))
-    rows = rates_of(good)
-    broken = rows.where(F.col("ds").isNull() | F.col("y").isNull()).select("series_id").distinct()
-    return rows.join(broken, "series_id", "left_anti"), errors.unionByName(broken.select("series_id", F.lit("rates").alias("stage"), F.lit("a date or rate can't be read").alias("message")))
+    entries = F.map_entries(F.col(f"payload.`{SERIES}`"))
+    broken = F.exists(entries, lambda e: e["key"].try_cast("date").isNull() | map_value(e["value"], CLOSE).try_cast("double").isNull())
+    return rates_of(good.where(~broken)), errors.unionByName(good.where(broken).select("series_id", F.lit("rates").alias("stage"), F.lit("a date or rate can't be read").alias("message")))
 
 
 def clean_table(raw: DataFrame, decimal: str = ",", thousands: str | None = None) -> DataFrame:
@@ -60,12 +61,12 @@ def read_rates_table(spark: SparkSession, path: str, series_id: str, decimal: st
     return clean_table(raw.withColumn("series_id", F.lit(series_id)), decimal, thousands)
 
 
-def read_rates_html(spark: SparkSession, path: str, series_id: str, decimal: str = ",", thousands: str | None = None) -> DataFrame:
-    """Rates of the rows of HTML tables with two cells."""
-    page = spark.read.text(path, wholetext=True)
-    row = page.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("row"))
-    cells = row.select(F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), lambda c: F.btrim(F.regexp_replace(c, r"<[^>]*>", ""), F.lit(" \t\r\n"))).alias("c")).where(F.size("c") >= 2)
-    return clean_table(cells.select(F.lit(series_id).alias("series_id"), F.col("c")[0].alias("date_str"), F.col("c")[1].alias("y")), decimal, thousands)
+def read_rates_html(spark: SparkSession, path: str, series_id: str, decimal: str = ",", thousands: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rates of the rows of HTML tables with two cells or more, and errors of pages that have none."""
+    rows = read_table_files(spark, path)
+    cells = rows.where(F.col("error").isNull()).select(F.lit(series_id).alias("series_id"), F.col("first").alias("date_str"), F.col("second").alias("y"))
+    errors = rows.where(F.col("error").isNotNull()).select(F.lit(series_id).alias("series_id"), F.lit("rates").alias("stage"), F.concat("error", F.lit(": "), "file").alias("message"))
+    return clean_table(cells, decimal, thousands), errors
 
 
 def with_fallback(primary: DataFrame, fallback: DataFrame, key: str = "series_id") -> DataFrame:

@@ -15,7 +15,8 @@ from ratewatch.operators import news, panel, report
 from ratewatch.operators.holidays import colombian, easter
 from ratewatch.plans.daily import run_daily, run_landed
 from ratewatch.sources import rates, sinks
-from ratewatch.sources.news import read_news_json, read_rss
+from ratewatch.sources.markup import feed_entries, table_rows
+from ratewatch.sources.news import read_feeds, read_news_json
 
 FX = "series_id string, ds date, y double"
 ARTICLE = "url string, title string, summary string, published_at timestamp, source string, tags array<string>, feed_rank int, entry_seq bigint"
@@ -84,14 +85,38 @@ def test_rates_tables(spark, tmp_path):
     (tmp_path / "t.csv").write_text("fecha;valor\n31/01/2024;3950,25\nbad;1\n01/02/2024;x\n")
     assert [(str(r.ds), r.y) for r in rates.read_rates_table(spark, str(tmp_path / "t.csv"), "COP").collect()] == [("2024-01-31", 3950.25)]
     (tmp_path / "t.html").write_text("<table><tr><th>d</th></tr><tr class='a'><td>31/01/2024</td><td><b>3950,25</b></td></tr></table>")
-    assert [(str(r.ds), r.y) for r in rates.read_rates_html(spark, str(tmp_path / "t.html"), "COP").collect()] == [("2024-01-31", 3950.25)]
+    assert [(str(r.ds), r.y) for r in rates.read_rates_html(spark, str(tmp_path / "t.html"), "COP")[0].collect()] == [("2024-01-31", 3950.25)]
+    (tmp_path / "none.html").write_text("<p>no table")
+    rows, errors = rates.read_rates_html(spark, str(tmp_path / "*.html"), "COP")
+    assert rows.count() == 1 and [r.message.split(":")[0] for r in errors.collect()] == ["no table rows"]
+
+
+def test_table_rows():
+    nested = "<table><tr><td>a<table><tr><td>x</td><td>y &amp; z</td></tr></table>b</td><td>c</td><tr><td>open<td>row"
+    assert table_rows(nested.encode()) == ([["x", "y & z"], ["ab", "c"], ["open", "row"]], None)
+    assert table_rows(b"") == ([], "no table rows")
+
+
+def test_feeds_of_all_kinds():
+    rss = "<rss><channel><image><title>no</title></image><title>F &amp; G</title><item><title><![CDATA[a &nbsp; b]]></title><link> u </link><description>x&nbsp;y</description><pubDate>d</pubDate></item><item/></channel></rss>"
+    assert feed_entries(rss.encode()) == ("F & G", [("a &nbsp; b", "x\u00a0y", "u", "d"), (None, None, None, None)], None)
+    rdf = "<rdf:RDF xmlns:rdf='r' xmlns='http://purl.org/rss/1.0/' xmlns:dc='d'><channel><title>R</title></channel><item><title>t</title><link>u</link><dc:date>2024</dc:date></item></rdf:RDF>"
+    assert feed_entries(rdf.encode()) == ("R", [("t", None, "u", "2024")], None)
+    atom = "<feed xmlns='http://www.w3.org/2005/Atom'><title>A</title><entry><title type='xhtml'><div>t <b>b</b></div></title><link rel='self' href='s'/><link href='u'/><content>c</content><updated>2024</updated></entry></feed>"
+    assert feed_entries(atom.encode()) == ("A", [("t b", "c", "u", "2024")], None)
+    title, entries, error = feed_entries(rss.replace("<item/>", "<item><title>cut").encode())
+    assert len(entries) == 1 and error.startswith("broken after 1 entries")
+    latin = "<?xml version='1.0' encoding='iso-8859-1'?><rss><channel><title>é</title></channel></rss>".encode("latin-1")
+    assert feed_entries(latin) == ("é", [], "no entries")
+    for broken in (b"", b"\0\1", b"not xml", b"<rss>"):
+        assert feed_entries(broken)[2]
 
 
 def test_feeds(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<rss><channel><title>Feed</title><item><title>T</title><description>D</description><link>u1</link><pubDate>Sat, 01 Jun 2024 10:30:00 GMT</pubDate></item><item><title>T2</title></item></channel></rss>")
     (tmp_path / "n.json").write_text('{"articles":[{"title":null,"description":"d","url":"u2","publishedAt":"2024-06-01T00:00:00Z","source":{"name":null}}]}')
     run_ts = F.lit("2024-06-02 00:00:00").cast("timestamp")
-    rss, errors = read_rss(spark, str(tmp_path / "a.xml"), run_ts)
+    rss, errors = read_feeds(spark, str(tmp_path / "a.xml"), run_ts)
     rows = rss.orderBy("entry_seq").collect()
     assert [(r.url, r.title, r.summary, r.source) for r in rows] == [("u1", "T", "D", "Feed"), ("", "T2", "", "Feed")]
     assert errors.count() == 0
@@ -100,6 +125,21 @@ def test_feeds(spark, tmp_path):
     assert (r.url, r.title, r.source, r.tags) == ("u2", "", "NewsAPI", [])
 
 
+def test_each_file_gives_rows_or_an_error(spark, tmp_path):
+    run_ts = F.lit("2024-06-02 00:00:00").cast("timestamp")
+    for name, text in {"a.json": '{"articles":[{"title":"t","source":"one"},{"title":"u"}]}', "b.json": '{"articles":[]}', "c.json": '{"status":"error"}', "d.json": "[1", "e.json": '{"articles":{"title":"x"}}', "f.json": ""}.items():
+        (tmp_path / name).write_text(text)
+    rows, errors = read_news_json(spark, str(tmp_path / "*.json"), run_ts)
+    assert [(r.title, r.entry_seq) for r in rows.collect()] == [("u", 1)]
+    assert sorted((r.series_id[-6:], r.message) for r in errors.collect()) == [("a.json", "unreadable article 0"), ("b.json", "no articles"), ("c.json", "unreadable file"), ("d.json", "unreadable file"), ("e.json", "unreadable file"), ("f.json", "empty file")]
+    (tmp_path / "a.xml").write_text("")
+    (tmp_path / "b.xml").write_text("<feed xmlns='http://www.w3.org/2005/Atom'><title>A</title><entry><title>t</title><link href='u'/><updated>2024-06-01T10:00:00+02:00</updated></entry>")
+    rows, errors = read_feeds(spark, str(tmp_path / "*.xml"), run_ts)
+    r = rows.first()
+    assert (r.title, r.source, r.published_at) == ("t", "A", datetime(2024, 6, 1, 8)) and rows.count() == 1
+    assert {r.series_id[-5:] for r in errors.collect()} == {"a.xml", "b.xml"}
+
+
 def test_reports_replace_their_own_date(spark, tmp_path):
     path = str(tmp_path / "out")
     for day, text in (("2024-06-01", "a"), ("2024-06-02", "b"), ("2024-06-01", "c")):

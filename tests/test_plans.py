@@ -5,7 +5,7 @@ import pytest
 from ratewatch.plans.queries import queries
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"fc_trend", "fc_arima", "fc_all", "fc_walk_forward", "fc_backtest", "fc_all_days", "fc_ma_profile", "news_model_calls"}
+PYTHON = {"fc_trend", "fc_arima", "fc_all", "fc_walk_forward", "fc_backtest", "fc_all_days", "fc_ma_profile", "news_model_calls", "news_rss", "news_feed_errors"}
 
 
 def plan(spark, name):
