@@ -91,11 +91,15 @@ def fold_ends(n: int, k: int) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class ArrayModel:
-    """A model in numpy: ``fit`` answers a list of series. Partitions are sorted by series and go through in batches of whole series."""
+    """A model in numpy: ``fit`` answers a list of series. Partitions are sorted by series and go through in batches of whole series.
+
+    ``dealt``: rows come from a store that keeps each series in one place, so they are dealt out anew only where they don't.
+    """
 
     name: str
     rank: int
     fit: Callable[[list[Series], int], list[Answer]]
+    dealt: bool = False
 
     def __call__(self, fx: DataFrame, horizon: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
         return self._run(fx, horizon, keys, None)
@@ -147,10 +151,15 @@ class ArrayModel:
         # a number of tasks of its own: fits take long and rows are few, so a shuffle's size says nothing about the work
         tasks = int(fx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         schema = ", ".join(f"`{c}` {fx.schema[c].dataType.simpleString()}" for c in keys) + (", fold int" if k else "") + ", " + FORECAST
-        return fx.select(*keys, "ds", "y").repartition(tasks, *keys).sortWithinPartitions(*keys, "ds").mapInArrow(run, schema)
+        rows = fx.select(*keys, "ds", "y")
+        if self.dealt:  # a window asks for its series in one place and in order, and Spark sees where they are so already
+            rows = rows.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("ds")))
+        else:
+            rows = rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "ds")
+        return rows.mapInArrow(run, schema)
 
 
-def trend_model(changepoint_prior: float = 0.05, interval_width: float = 0.8, holidays: Callable[[int], Mapping[str, date]] | None = colombian, name: str = "trend", rank: int = 0, samples: int = 1000) -> Model:
+def trend_model(changepoint_prior: float = 0.05, interval_width: float = 0.8, holidays: Callable[[int], Mapping[str, date]] | None = colombian, name: str = "trend", rank: int = 0, samples: int = 1000, dealt: bool = False) -> Model:
     """Trend, weekly and yearly seasons, and holidays, on the rows as they are, weekends included.
 
     ``holidays`` gives those of a year by name; each name has an effect of its own. None: no holidays. The band is sampled,
@@ -176,10 +185,10 @@ def trend_model(changepoint_prior: float = 0.05, interval_width: float = 0.8, ho
         except (m.CannotFit, np.linalg.LinAlgError) as e:
             return m.CannotFit(str(e))
 
-    return ArrayModel(name, rank, lambda batch, horizon: [one(s, horizon) for s in batch])
+    return ArrayModel(name, rank, lambda batch, horizon: [one(s, horizon) for s in batch], dealt)
 
 
-def arima_model(order: tuple[int, int, int] = (2, 1, 2), alpha: float = 0.05, name: str = "arima", rank: int = 1) -> Model:
+def arima_model(order: tuple[int, int, int] = (2, 1, 2), alpha: float = 0.05, name: str = "arima", rank: int = 1, dealt: bool = False) -> Model:
     """ARIMA by exact likelihood on the business-day grid; the series of a batch are fit together. A date that stands twice is an error."""
 
     def fit(batch: list[Series], horizon: int) -> list[Answer]:
@@ -190,7 +199,7 @@ def arima_model(order: tuple[int, int, int] = (2, 1, 2), alpha: float = 0.05, na
                 out[i] = answer
         return out
 
-    return ArrayModel(name, rank, fit)
+    return ArrayModel(name, rank, fit, dealt)
 
 
 def _alike(sizes: list[tuple[int, int]], most: int = BATCH_ROWS) -> Iterator[list[int]]:

@@ -132,3 +132,14 @@ def classify(articles: DataFrame, replies: DataFrame, batch: str = "batch", keyw
 def narrative_or_default(runs: DataFrame, narratives: DataFrame, key: str = "run_date") -> DataFrame:
     """Every run with its narrative, or the text that says there was no news."""
     return runs.join(narratives.select(key, "narrative"), key, "left").withColumn("narrative", F.coalesce("narrative", F.lit(NO_NEWS)))
+
+
+def fold_narratives(narratives: DataFrame, run_date: str) -> DataFrame:
+    """``run_date, narrative``: one row with the narratives of all batches, a line each, in their order; failed ones only if there is no other.
+
+    Batches are few: each has one short text here, however many articles it has.
+    """
+    told = F.col("narrative") != NO_ANALYSIS
+    lines = F.expr("listagg(narrative, '\n') WITHIN GROUP (ORDER BY batch)")
+    folded = narratives.where(told).agg(lines.alias("told")).crossJoin(narratives.agg(F.max("narrative").alias("any")))  # one row each
+    return folded.select(F.lit(run_date).alias("run_date"), F.coalesce("told", "any").alias("narrative")).where(F.col("narrative").isNotNull())

@@ -32,29 +32,35 @@ def metrics_section(metrics: DataFrame) -> DataFrame:
     return rows.groupBy("series_id").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY model_name)").alias("metrics_section"))
 
 
-def build_reports(summary: DataFrame, narrative: DataFrame, ensemble: DataFrame, metrics: DataFrame, run_date: str, horizon: int, series: DataFrame | None = None, base: str = BASE, quote: str = QUOTE) -> DataFrame:
-    """``series_id, run_date, latest_rate, rate_change_pct, narrative, report`` for each series; what is missing is zero or empty.
+def build_reports(summary: DataFrame, narrative: DataFrame, ensemble: DataFrame, metrics: DataFrame, run_date: str, horizon: int, series: DataFrame | None = None, pairs: DataFrame | None = None, base: str = BASE, quote: str = QUOTE, tags: str = TAGS) -> DataFrame:
+    """``series_id, run_date, latest_rate, rate_change_pct, narrative, report, base, quote, tags`` for each series; what is missing is zero or empty.
 
-    ``narrative`` has one row a run date. The rates are of ``base`` in ``quote``.
+    ``narrative`` has one row a run date. The rates of a series are of its base in its quote: from ``pairs (series_id, base,
+    quote, tags)``, one row a series, where it has them, else those given.
     """
     rates = summary.select("series_id", "latest_rate", "rate_change_pct")
     if series is not None:
         rates = series.select("series_id").distinct().join(rates, "series_id", "left")
     told = narrative.where(F.col("run_date") == run_date).agg(F.first("narrative", ignorenulls=True).alias("narrative"))  # one row
     rows = rates.join(forecast_table(ensemble), "series_id", "left").join(metrics_section(metrics), "series_id", "left").crossJoin(F.broadcast(told))
+    if pairs is None:
+        rows = rows.withColumns({n: F.lit(None).cast("string") for n in ("base", "quote", "tags")})
+    else:
+        rows = rows.join(pairs.select("series_id", "base", "quote", "tags"), "series_id", "left")
+    own = [F.coalesce(name, F.lit(default)).alias(name) for name, default in (("base", base), ("quote", quote), ("tags", tags))]
     rate, change = F.coalesce("latest_rate", F.lit(0.0)), F.coalesce("rate_change_pct", F.lit(0.0))
-    rows = rows.select("series_id", F.lit(run_date).alias("run_date"), rate.alias("latest_rate"), change.alias("rate_change_pct"), F.coalesce("narrative", F.lit("")).alias("narrative"), F.coalesce("forecast_table", F.lit("")).alias("table"), F.coalesce("metrics_section", F.lit("N/A")).alias("metrics"))
+    rows = rows.select("series_id", F.lit(run_date).alias("run_date"), rate.alias("latest_rate"), change.alias("rate_change_pct"), F.coalesce("narrative", F.lit("")).alias("narrative"), F.coalesce("forecast_table", F.lit("")).alias("table"), F.coalesce("metrics_section", F.lit("N/A")).alias("metrics"), *own)
     text = F.concat(
-        F.lit(f"# {quote}/{base} Intelligence Report — "), "run_date", F.lit(f"\n\n## Current Rate\n**1 {base} = "), money(F.col("latest_rate")), F.lit(f" {quote}** "),
+        F.lit("# "), "quote", F.lit("/"), "base", F.lit(" Intelligence Report — "), "run_date", F.lit("\n\n## Current Rate\n**1 "), "base", F.lit(" = "), money(F.col("latest_rate")), F.lit(" "), "quote", F.lit("** "),
         F.when(F.col("rate_change_pct") > 0, UP).otherwise(DOWN), F.lit(" ("), signed(F.col("rate_change_pct")), F.lit("% vs 30 days ago)\n\n## Market Narrative\n"), "narrative",
         F.lit(f"\n\n## {horizon}-Day Forecast\n"), "table", F.lit("\n\n## Model Performance (back-test)\n"), "metrics", F.lit("\n"),
     )
-    return rows.select("series_id", "run_date", "latest_rate", "rate_change_pct", "narrative", text.alias("report"))
+    return rows.select("series_id", "run_date", "latest_rate", "rate_change_pct", "narrative", text.alias("report"), "base", "quote", "tags")
 
 
-def build_posts(reports: DataFrame, most_chars: int = MOST_CHARS, base: str = BASE, quote: str = QUOTE, tags: str = TAGS) -> DataFrame:
-    """``series_id, run_date, post``."""
-    text = F.concat(F.lit(f"{quote}/{base} — "), "run_date", F.lit(f"\n{MONEY} 1 {base} = "), money(F.col("latest_rate"), 0), F.lit(f" {quote} ("), signed(F.col("rate_change_pct"), 1), F.lit("% 30d)\n"), prefix(F.col("narrative"), 120), F.lit(f"...\n{tags}"))
+def build_posts(reports: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
+    """``series_id, run_date, post`` of reports, each with its own pair and tags."""
+    text = F.concat("quote", F.lit("/"), "base", F.lit(" — "), "run_date", F.lit(f"\n{MONEY} 1 "), "base", F.lit(" = "), money(F.col("latest_rate"), 0), F.lit(" "), "quote", F.lit(" ("), signed(F.col("rate_change_pct"), 1), F.lit("% 30d)\n"), prefix(F.col("narrative"), 120), F.lit("...\n"), "tags")
     return reports.select("series_id", "run_date", prefix(text, most_chars).alias("post"))
 
 

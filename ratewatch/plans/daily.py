@@ -13,6 +13,7 @@ from pyspark.storagelevel import StorageLevel
 from ratewatch.operators import forecast as fc
 from ratewatch.operators import news, panel, report
 from ratewatch.plans.steps import written
+from ratewatch.sources import ledger
 from ratewatch.sources.news import read_feeds, read_news_json
 from ratewatch.sources.rates import read_rates_json, with_fallback
 from ratewatch.sources.sinks import post_outbox
@@ -36,13 +37,17 @@ class Daily:
             df.unpersist()
 
 
-def run_daily(fx: DataFrame, articles: DataFrame, run_date: date, horizon: int = 7, models: Mapping[str, fc.Model] | None = None, model_reply: Callable[[list[str]], list[str]] | None = None, most_articles: int = news.MOST_ARTICLES, lookback_days: int = panel.LOOKBACK_DAYS, publish: bool = False, source_errors: DataFrame | None = None) -> Daily:
+def run_daily(fx: DataFrame, articles: DataFrame, run_date: date, horizon: int = 7, models: Mapping[str, fc.Model] | None = None, model_reply: Callable[[list[str]], list[str]] | None = None, most_articles: int = news.MOST_ARTICLES, lookback_days: int = panel.LOOKBACK_DAYS, publish: bool = False, source_errors: DataFrame | None = None, series: DataFrame | None = None, pairs: DataFrame | None = None, model_name: str = "model", replies_path: str | None = None, posts_path: str | None = None) -> Daily:
     """All tables of one run.
 
     The rates within the look-back are dealt out by series once; summary, models and back-test use that. Without
     ``model_reply`` (texts in, texts out) articles are labelled by keywords. One branch's failures leave the other alone.
     Replies are written before they are used, so no digest is sent twice. Errors of the readers come in as
     ``source_errors (series_id, stage, message)``; a failed reply is an error of the stage ``news``.
+
+    ``series`` (``series_id``; else found once in ``fx``) get a report each, ``pairs (series_id, base, quote, tags)`` say what their rates are. With
+    ``replies_path`` digests that this model has answered before aren't sent again; with ``posts_path`` a post is handed out once,
+    and ``outbox`` has those that are out now.
     """
     if lookback_days < 30:
         raise ValueError("look back 30 days or more")
@@ -52,8 +57,10 @@ def run_daily(fx: DataFrame, articles: DataFrame, run_date: date, horizon: int =
     spark, day = fx.sparkSession, run_date.isoformat()
     recent = panel.lookback(fx, run_date, lookback_days).repartition("series_id").persist(StorageLevel.MEMORY_AND_DISK)
     summary = panel.fx_summary(recent)
-    kept = [recent]
-    forecasts, failed = fc.forecast_all(recent, models, horizon, series=fx.select("series_id").distinct(), kept=kept)
+    if series is None:
+        series = fx.select("series_id").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [recent, series]
+    forecasts, failed = fc.forecast_all(recent, models, horizon, series=series, kept=kept)
     ensemble, uneven = fc.ensemble(forecasts)
     metrics, _ = fc.backtest(recent, models, horizon, kept=kept)
 
@@ -62,13 +69,17 @@ def run_daily(fx: DataFrame, articles: DataFrame, run_date: date, horizon: int =
         analyzed = news.classify_keywords(news.number_articles(latest, "batch"))
         told = latest.select("batch").distinct().select(F.col("batch").alias("run_date"), F.lit(news.NO_ANALYSIS).alias("narrative"))
     else:
-        replies = written(news.call_model(news.build_digest(latest, "batch", "narrative", index_base=0), model_reply), "replies")
+        digests = news.build_digest(latest, "batch", "narrative", index_base=0)
+        replies = written(news.call_model(digests, model_reply), "replies") if replies_path is None else ledger.ask(digests, model_name, model_reply, replies_path)
         told = news.parse_reply(replies).select(F.col("batch").alias("run_date"), "narrative")
         arrays = replies.select("batch", F.split("raw", "---", 2)[0].alias("raw"))
         analyzed = news.classify(latest, arrays)
     narrative = news.narrative_or_default(spark.createDataFrame([(day,)], "run_date string"), told)
-    reports = report.build_reports(summary, narrative, ensemble, metrics, day, horizon, series=fx)
-    outbox, too_long = post_outbox(report.build_posts(reports), publish)
+    reports = report.build_reports(summary, narrative, ensemble, metrics, day, horizon, series=series, pairs=pairs)
+    posts = report.build_posts(reports)
+    outbox, too_long = post_outbox(posts, publish)
+    if posts_path is not None:
+        outbox = ledger.hand_out(posts, posts_path, publish).where(F.col("run_date") == day)
     errors = panel.summary_errors(summary).unionByName(failed).unionByName(uneven).unionByName(panel.grid_errors(recent)).unionByName(too_long)
     if model_reply is not None:
         errors = errors.unionByName(replies.where(F.col("raw").isNull()).select(F.col("batch").alias("series_id"), F.lit("news").alias("stage"), F.lit("the model gave no reply").alias("message")))

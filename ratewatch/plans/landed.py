@@ -25,13 +25,14 @@ MOST = 100
 RUN, RUN_S = "2024-06-01 12:00:00+00:00", 1717243200
 
 
-def _path(spark, label: str) -> str:
+def path_of(spark, label: str) -> str:
+    """A new folder's path among the shared ones."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def _landed(df: DataFrame, label: str, by: str | None = None) -> str:
     """The path of a new text folder, with a file for each value of ``by``."""
-    path = _path(df.sparkSession, label)
+    path = path_of(df.sparkSession, label)
     (df.write.partitionBy(by) if by else df.write).text(path)
     return path
 
@@ -210,7 +211,7 @@ _DAYS = "2001-08-01", "2001-08-02"
 def report_store(spark, sf_dir):
     """Two run dates are written, and the later one again: it is replaced, the other one stays."""
     counts = panel.ingest_counts(t.orders_panel(spark, sf_dir)).select("series_id", "n")
-    path = _path(spark, "reports")
+    path = path_of(spark, "reports")
     write_reports(counts.withColumn("run_date", F.explode(F.array(*map(F.lit, _DAYS)))), path)
     write_reports(counts.select("series_id", (F.col("n") + 1).alias("n"), F.lit(_DAYS[1]).alias("run_date")), path)
     return spark.read.schema("series_id string, n long, run_date string").parquet(path)

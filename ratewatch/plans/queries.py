@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from ratewatch.operators import forecast as fc
 from ratewatch.operators import news, panel, report
-from ratewatch.plans import landed  # noqa: F401  registers its queries
+from ratewatch.plans import landed
 from ratewatch.plans import tables as t
 from ratewatch.plans.registry import QUERIES, SQL, Query, query
+from ratewatch.sources import ledger, store
 from ratewatch.sources.rates import with_fallback
 from ratewatch.sources.sinks import post_outbox
 
@@ -81,6 +83,23 @@ def fx_holdout(spark, sf_dir):
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).withColumns(_r(4, "y"))
 
 
+_RECENT = "(SELECT * FROM orders_panel WHERE ds BETWEEN DATE '2001-08-01' - 365 AND DATE '2001-08-01')"
+
+
+@query(
+    t.with_tables(
+        f"SELECT series_id, latest_ds, round(latest_rate, 4) AS latest_rate, round(reference_rate, 4) AS reference_rate, n, round((latest_rate - reference_rate) / reference_rate * 100, 2) AS rate_change_pct, (SELECT count(*) FROM orders_panel) AS stored FROM ({_SUMMARY.format(panel=_RECENT)})",
+        "orders_panel",
+    )
+)
+def fx_store(spark, sf_dir):
+    """The panel stored by month and series, the look-back read from it, and the rows that were counted while it was written."""
+    name = f"panel_{uuid.uuid4().hex}"
+    seen = store.write_panel(t.orders_panel(spark, sf_dir), name, landed.path_of(spark, "panel"), buckets=8)
+    recent = store.read_panel(spark, name, AS_OF)
+    return panel.fx_summary(recent).withColumns(_r(4, "latest_rate", "reference_rate")).withColumn("stored", F.lit(seen["n"]).cast("long"))
+
+
 @query(t.with_tables("SELECT series_id, count(*) AS n, min(ds) AS first, max(ds) AS last FROM lineitem_panel GROUP BY 1", "lineitem_panel"))
 def fx_ingest_counts(spark, sf_dir):
     return panel.ingest_counts(t.lineitem_panel(spark, sf_dir))
@@ -218,6 +237,42 @@ def news_narrative(spark, sf_dir):
     return news.narrative_or_default(runs, narratives, "run")
 
 
+def _late(digests: list[str]) -> list[str]:
+    """In a model's place on the next day."""
+    return [f"late {len(d)}" for d in digests]
+
+
+@query(f"SELECT batch, CASE WHEN length(digest) % 5 <> 0 THEN 'read ' ELSE 'late ' END || length(digest) AS raw, CASE WHEN length(digest) % 5 <> 0 THEN 1 ELSE 2 END AS sent FROM ({SQL['news_digest']})")
+def news_reply_ledger(spark, sf_dir):
+    """Two runs over the same digests: the second one sends only those that failed in the first."""
+    digests = news.build_digest(t.articles(spark, sf_dir), "source", "narrative")
+    path = landed.path_of(spark, "reply-ledger")
+    ledger.ask(digests, "stub", _stub, path)
+    second = ledger.ask(digests, "stub", _late, path)
+    sent = ledger.read_replies(spark, path).groupBy("digest_hash").agg(F.count("*").alias("sent"))
+    named = digests.select("batch", F.sha2("digest", 256).alias("digest_hash"))
+    return second.join(named, "batch").join(sent, "digest_hash").select("batch", "raw", "sent")
+
+
+@query(
+    t.with_tables(
+        """SELECT series_id, run_date, CASE WHEN k % 4 = 0 THEN 'sent' ELSE 'ready' END AS status, CASE WHEN k % 4 = 0 THEN 2 WHEN k % 4 = 1 THEN 3 WHEN k % 4 = 2 THEN 2 ELSE 1 END AS version, CASE WHEN k % 4 IN (0, 3) THEN 'post ' ELSE 'new ' END || series_id || ': ' || n AS post
+FROM (SELECT series_id, CAST(series_id AS INTEGER) AS k, count(*) AS n FROM nation_panel GROUP BY 1) CROSS JOIN (SELECT '2001-08-01' AS run_date)""",
+        "nation_panel",
+    )
+)
+def report_ledger(spark, sf_dir):
+    """Posts of a date, handed out, then sent, failed, or left; and handed out again, half of them with a new text."""
+    counts = panel.ingest_counts(t.nation_panel(spark, sf_dir)).withColumn("k", F.col("series_id").cast("int") % 4)
+    told = lambda word: counts.select("series_id", F.lit("2001-08-01").alias("run_date"), F.concat(word, F.col("series_id"), F.lit(": "), F.col("n").cast("string")).alias("post"), "k")
+    path = landed.path_of(spark, "post-ledger")
+    ledger.hand_out(told(F.lit("post ")), path, enabled=True)
+    ledger.mark(told(F.lit("")).withColumn("status", F.when(F.col("k") == 0, ledger.SENT).when(F.col("k") == 1, ledger.FAILED)), path)
+    for _ in range(2):  # the same again changes nothing
+        ledger.hand_out(told(F.when(F.col("k") == 3, "post ").otherwise("new ")), path, enabled=True)
+    return ledger.read_posts(spark, path)
+
+
 # -- forecasts
 
 
@@ -357,10 +412,10 @@ _TABLE = f"""SELECT series_id, '| Date | Forecast | 95% CI |' || chr(10) || '|--
 string_agg('| ' || strftime(ds, '%Y-%m-%d') || ' | ' || printf('%.2f', round(yhat, 2)) || ' | ' || printf('%.2f', round(yhat_lower, 2)) || ' – ' || printf('%.2f', round(yhat_upper, 2)) || ' |', chr(10) ORDER BY step) AS forecast_table FROM ({_ENSEMBLE}) GROUP BY 1"""
 _LINES = f"""SELECT series_id, string_agg('- **' || upper(model_name) || '**: MAE=' || printf('%.2f', round(mae, 2)) || ', RMSE=' || printf('%.2f', round(rmse, 2)) || ', MAPE=' || printf('%.2f', round(mape, 2)) || '%', chr(10) ORDER BY model_name) AS metrics_section FROM ({_BACKTEST}) GROUP BY 1"""
 _CHANGE = f"SELECT series_id, latest_rate, round((latest_rate - reference_rate) / reference_rate * 100, 2) AS change FROM ({_SUMMARY.format(panel='nation_panel')})"
-_TOLD = "outlook of src0"
-_REPORT = f"""SELECT series_id, '2001-08-01' AS run_date, round(latest_rate, 4) AS latest_rate, change AS rate_change_pct, '{_TOLD}' AS narrative,
+_TOLD = "(SELECT string_agg('outlook of ' || source, chr(10) ORDER BY source) FROM (SELECT DISTINCT source, CAST(substring(source, 4) AS INTEGER) AS feed_rank FROM documents) WHERE feed_rank % 5 <> 4)"
+_REPORT = f"""SELECT series_id, '2001-08-01' AS run_date, round(latest_rate, 4) AS latest_rate, change AS rate_change_pct, {_TOLD} AS narrative,
 '# COP/USD Intelligence Report — 2001-08-01' || chr(10) || chr(10) || '## Current Rate' || chr(10) || '**1 USD = ' || format('{{:,.2f}}', round(latest_rate, 2)) || ' COP** ' || CASE WHEN change > 0 THEN '{report.UP}' ELSE '{report.DOWN}' END || ' (' || printf('%+.2f', change) || '% vs 30 days ago)' || chr(10) || chr(10) ||
-'## Market Narrative' || chr(10) || '{_TOLD}' || chr(10) || chr(10) || '## 7-Day Forecast' || chr(10) || coalesce(forecast_table, '') || chr(10) || chr(10) || '## Model Performance (back-test)' || chr(10) || coalesce(metrics_section, 'N/A') || chr(10) AS report
+'## Market Narrative' || chr(10) || {_TOLD} || chr(10) || chr(10) || '## 7-Day Forecast' || chr(10) || coalesce(forecast_table, '') || chr(10) || chr(10) || '## Model Performance (back-test)' || chr(10) || coalesce(metrics_section, 'N/A') || chr(10) AS report
 FROM ({_CHANGE}) LEFT JOIN ({_TABLE}) USING (series_id) LEFT JOIN ({_LINES}) USING (series_id)"""
 _POST = f"substring('COP/USD — ' || run_date || chr(10) || '{report.MONEY} 1 USD = ' || format('{{:,.0f}}', round(latest_rate, 0)) || ' COP (' || printf('%+.1f', round(rate_change_pct, 1)) || '% 30d)' || chr(10) || substring(narrative, 1, 120) || '...' || chr(10) || '{report.TAGS}', 1, 280)"
 
@@ -375,15 +430,33 @@ def report_metrics(spark, sf_dir):
     return report.metrics_section(fc.backtest(t.nation_panel(spark, sf_dir), _baselines(), HORIZON)[0])
 
 
-def _reports(spark, sf_dir):
+def _reports(spark, sf_dir, pairs=None):
     fx = t.nation_panel(spark, sf_dir)
-    told = news.parse_reply(t.replies(spark, sf_dir).where(F.col("batch") == "src0")).select(F.lit("2001-08-01").alias("run_date"), "narrative")
-    return report.build_reports(panel.fx_summary(fx), told, fc.ensemble(_forecasts(spark, sf_dir))[0], fc.backtest(fx, _baselines(), HORIZON)[0], "2001-08-01", HORIZON)
+    told = news.fold_narratives(news.parse_reply(t.replies(spark, sf_dir)), "2001-08-01")
+    return report.build_reports(panel.fx_summary(fx), told, fc.ensemble(_forecasts(spark, sf_dir))[0], fc.backtest(fx, _baselines(), HORIZON)[0], "2001-08-01", HORIZON, pairs=pairs)
 
 
 @query(t.with_tables(_REPORT, "nation_panel"))
 def report_text(spark, sf_dir):
-    return _reports(spark, sf_dir).withColumns(_r(4, "latest_rate"))
+    return _reports(spark, sf_dir).drop("base", "quote", "tags").withColumns(_r(4, "latest_rate"))
+
+
+_EURO = "CAST(series_id AS INTEGER) % 3 = 1"
+_PAIRED = f"CASE WHEN {_EURO} THEN replace(replace({{text}}, 'COP', 'BRL'), 'USD', 'EUR') ELSE {{text}} END"
+
+
+@query(
+    t.with_tables(
+        f"SELECT series_id, {_PAIRED.format(text='report')} AS report, CASE WHEN {_EURO} THEN substring(replace(replace(replace(post, '{report.TAGS}', '#Real'), 'COP', 'BRL'), 'USD', 'EUR'), 1, 280) ELSE post END AS post FROM (SELECT series_id, report, {_POST} AS post FROM ({_REPORT}))",
+        "nation_panel",
+    )
+)
+def report_pairs(spark, sf_dir):
+    """Every third nation's rates are of another pair, with tags of its own."""
+    nations = t.table(spark, sf_dir, "nation").where("n_nationkey % 3 = 1")
+    pairs = nations.select(F.col("n_nationkey").cast("string").alias("series_id"), F.lit("EUR").alias("base"), F.lit("BRL").alias("quote"), F.lit("#Real").alias("tags"))
+    reports = _reports(spark, sf_dir, pairs)
+    return reports.select("series_id", "report").join(report.build_posts(reports).select("series_id", "post"), "series_id")
 
 
 @query(t.with_tables(f"SELECT series_id, run_date, {_POST} AS post FROM ({_REPORT})", "nation_panel"))

@@ -14,7 +14,7 @@ from ratewatch.operators import models as m
 from ratewatch.operators import news, panel, report
 from ratewatch.operators.holidays import colombian, easter
 from ratewatch.plans.daily import run_daily, run_landed
-from ratewatch.sources import rates, sinks
+from ratewatch.sources import ledger, rates, sinks
 from ratewatch.sources.markup import feed_entries, table_rows
 from ratewatch.sources.news import read_feeds, read_news_json
 
@@ -448,6 +448,70 @@ def test_a_reply_is_asked_for_once(spark, tmp_path):
     assert open(asked).read() == "x"
 
 
+def test_replies_are_known_by_model_and_text(spark, tmp_path):
+    asked, path = tmp_path / "asked", str(tmp_path / "ledger")
+    digests = spark.createDataFrame([("a", "one"), ("b", "two"), ("c", "one"), ("d", None)], "batch string, digest string")
+
+    def reply(texts):
+        with open(asked, "a") as f:
+            f.write(f"{texts[0]}\n")
+        if texts[0] == "two":
+            raise RuntimeError("down")
+        return [f"re {texts[0]}"]
+
+    told = lambda df: {r.batch: r.raw for r in df.collect()}
+    assert told(ledger.ask(digests.where("batch <> 'd'"), "m", reply, path, attempts=2)) == {"a": "re one", "b": None, "c": "re one"}
+    assert sorted(asked.read_text().split()) == ["one", "two", "two"]
+    assert told(ledger.ask(digests.where("batch = 'a'"), "m", reply, path)) == {"a": "re one"} and asked.read_text().count("one") == 1
+    ledger.ask(digests.where("batch = 'a'"), "other", reply, path)
+    assert asked.read_text().count("one") == 2
+    assert {(r.model, r.attempts) for r in ledger.read_replies(spark, path).collect()} == {("m", 1), ("m", 2), ("other", 1)}
+    assert told(ledger.ask(digests.where("batch = 'x'"), "m", reply, path)) == {}
+
+
+def test_posts_go_out_once(spark, tmp_path):
+    path = str(tmp_path / "posts")
+    posts = lambda **texts: spark.createDataFrame([(k, "2024-06-01", v) for k, v in texts.items()], "series_id string, run_date string, post string")
+    state = lambda: {r.series_id: (r.version, r.status, r.post) for r in ledger.read_posts(spark, path).collect()}
+    assert {r.series_id for r in ledger.hand_out(posts(a="x", b="y", c="", d="z" * 281), path, False).collect()} == {"a", "b"}
+    ledger.hand_out(posts(a="x", b="y"), path, True)
+    assert state() == {"a": (2, "ready", "x"), "b": (2, "ready", "y")}
+    ledger.hand_out(posts(a="x", b="y"), path, True)
+    ledger.mark(posts(a="", e="").withColumn("status", F.lit("sent")), path)
+    ledger.mark(posts(a="").withColumn("status", F.lit("nonsense")), path)
+    ledger.hand_out(posts(a="changed", b="changed"), path, True)
+    assert state() == {"a": (3, "sent", "x"), "b": (3, "ready", "changed")}
+
+
+def test_a_date_that_is_run_again_asks_and_posts_once(spark, tmp_path):
+    asked = tmp_path / "asked"
+
+    def reply(texts):
+        with open(asked, "a") as f:
+            f.write("x")
+        return ["[]\n---\nCalm." for _ in texts]
+
+    pairs = spark.createDataFrame([("a", "EUR", "BRL", "#Real")], "series_id string, base string, quote string, tags string")
+    cached = lambda: spark._jsparkSession.sharedState().cacheManager().isEmpty()
+    assert cached()
+    for _ in range(2):
+        run = run_daily(series(spark, 60), article(spark, [("u1", "deficit", "trade", RUN, 0, 0)]), date(2023, 3, 20), 3, {"last": fc.baseline_model()}, model_reply=reply, pairs=pairs, publish=True, replies_path=str(tmp_path / "replies"), posts_path=str(tmp_path / "posts"))
+        row = run.reports.first()
+        assert row.report.startswith("# BRL/EUR Intelligence") and "Calm." in row.report
+        (post,) = run.outbox.collect()
+        assert post.status == "ready" and post.version == 1 and post.post.endswith("#Real") and run.errors.count() == 0
+        run.close()
+        assert cached()  # every frame that was kept is freed
+    assert asked.read_text() == "x"
+
+
+def test_narratives_are_folded(spark):
+    rows = spark.createDataFrame([("b", "two"), ("a", "one"), ("c", news.NO_ANALYSIS)], "batch string, narrative string")
+    assert news.fold_narratives(rows, "d").collect() == [("d", "one\ntwo")]
+    assert news.fold_narratives(rows.where("batch = 'c'"), "d").first().narrative == news.NO_ANALYSIS
+    assert news.fold_narratives(rows.where("batch = 'x'"), "d").count() == 0
+
+
 def test_daily_run_from_landed_files(spark, tmp_path):
     import json
 

@@ -5,7 +5,7 @@ import pytest
 from ratewatch.plans.queries import queries
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"fc_trend", "fc_arima", "fc_all", "fc_walk_forward", "fc_backtest", "fc_all_days", "fc_ma_profile", "news_model_calls", "news_rss", "news_feed_errors"}
+PYTHON = {"fc_trend", "fc_arima", "fc_all", "fc_walk_forward", "fc_backtest", "fc_all_days", "fc_ma_profile", "news_model_calls", "news_rss", "news_feed_errors", "news_reply_ledger"}
 
 
 def plan(spark, name):
@@ -35,3 +35,30 @@ def test_series_go_through_in_batches(spark, name):
     assert "InPandas" not in text and "MapInArrow" in text
     model = text.split("MapInArrow", 1)[1].split("HashAggregate", 1)[0]
     assert model.count("Exchange") == 1 and "Generate" not in model and "Window" not in model
+
+
+def test_a_stored_panel_needs_no_exchange(spark, tmp_path):
+    """Other months aren't read, and summary, grid and fits find each series in one place."""
+    import uuid
+    from datetime import date
+
+    from ratewatch.operators import forecast as fc
+    from ratewatch.operators import panel
+    from ratewatch.plans import tables
+    from ratewatch.sources import store
+
+    fx = tables.orders_panel(spark, SF)
+    name = f"panel_{uuid.uuid4().hex}"
+    seen = store.write_panel(fx, name, str(tmp_path / "panel"), buckets=4)
+    counts = panel.ingest_counts(fx).collect()
+    assert seen["n"] == sum(r.n for r in counts) and seen["first"] == min(r["first"] for r in counts) and seen["last"] == max(r["last"] for r in counts)
+    recent = store.read_panel(spark, name, date(2001, 8, 1))
+    assert sorted(recent.collect()) == sorted(panel.lookback(fx, date(2001, 8, 1)).collect())
+    for df in (panel.fx_summary(recent), panel.to_business_days(recent), fc.arima_model(dealt=True)(recent, 7), fc.trend_model(dealt=True)(recent, 7)):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text and "PartitionFilters: [isnotnull(month" in text and "Bucketed: true" in text
+    # rows that aren't in one place are dealt out
+    loose = fc.arima_model(dealt=True)(fx, 7)
+    assert "Exchange" in loose._jdf.queryExecution().executedPlan().toString()
+    told = lambda df: {(r.series_id, r.step): r.yhat for r in df.collect()}
+    assert told(fc.arima_model(dealt=True)(recent, 7)) == pytest.approx(told(fc.arima_model()(panel.lookback(fx, date(2001, 8, 1)), 7)), rel=1e-6)
