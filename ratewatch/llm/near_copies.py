@@ -7,10 +7,11 @@ miss much at 0.8 (9.7 of 64 differ there, with a deviation of 2.9), for each of
 0.999997 at 0.8, and none by chance as the corpus grows. Within a bucket SimHashes of 512 bits estimate how like each pair
 is, and of all pairs only a forest that spans the bucket by its best pairs comes out, fewer rows than the bucket has. Each
 of these pairs is confirmed or refused on the texts. What is confirmed makes groups; buckets that then still hold several
-groups give the next ``FORESTS`` forests, without the refused pairs, until nothing more is confirmed.
+groups give further forests, without the refused pairs and twice as many in each round, until no bucket has a pair between
+groups left that wasn't judged. So no link is lost to its rank, and the number of rounds grows with the logarithm of a bucket's pairs.
 
 A bucket with over ``MOST`` nodes is cut by a hash, another one in each round, into parts that share a node. If groups of
-it are still apart at the end, each two parts meet in a task.
+it are still apart when that brings nothing new, each two parts of it meet in a task, in every round until no pair is left.
 
 Defined results: a text of fewer than five words is one shingle; texts without words (null or empty too) are copies of
 each other; nodes and shingles are 64-bit hashes; rows that repeat in key and text are one; an empty table gives an empty
@@ -34,9 +35,10 @@ WORDS = 5
 #: Percent of the shingles of either text that both have.
 LEAST = 80
 BANDS, ROWS = 24, 4
-#: 64-bit words of the long SimHash, and how many of its bits may differ: at 0.8 it is 78 of 512, with a deviation of 8.
-WIDE, MOST_BITS = 8, 120
-#: Forests of a bucket in each round after the first.
+#: 64-bit words of the long SimHash, and how many of its bits may differ: at 0.8 it is 78 of 512, with a deviation of 8, and 96
+#: and 9 for texts of eight or nine words.
+WIDE, MOST_BITS = 8, 140
+#: Forests of a bucket in the first round, after which each one doubles them.
 FORESTS = 2
 #: Nodes that are compared in one place.
 MOST = 4096
@@ -226,10 +228,11 @@ def parted(rows: DataFrame, most: int, salt: int) -> DataFrame:
 
 
 def met(rows: DataFrame, most: int) -> DataFrame:
-    """Buckets with over ``most`` rows once for each two of their parts: any two members meet in one."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / max(1, most // 2)).cast("int").alias("parts")).where("parts > 2")
-    each = rows.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return each.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node", "root", "wide")
+    """Buckets with over ``most`` rows once for each two of their parts, so that any two members meet in one; others as they are."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / max(1, most // 2)).cast("int").alias("parts"))
+    each = rows.join(sizes, "key", "left").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    each = each.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    return each.select(F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"), "node", "root", "wide")
 
 
 def buckets_of(nodes: DataFrame, most_bits: int = 3) -> DataFrame:
@@ -266,7 +269,14 @@ def linked(docs: DataFrame, rows: DataFrame, least: int = LEAST, words: int = WO
         ask = met(now, most) if whole else parted(now, most, turn)
         if refused is not None:
             ask = ask.unionByName(refused.select("key", F.col("a").alias("node"), F.col("b").alias("root"), F.lit(None).cast("binary").alias("wide")))
-        asked = cut(forests(ask, most_bits, FORESTS if turn else 1), "forests")
+        asked = cut(forests(ask, most_bits, FORESTS << turn if turn else 1), "forests")
+        if asked.isEmpty():  # no bucket has a pair between groups that wasn't judged
+            if whole or now.groupBy("key").count().where(F.col("count") > most).isEmpty():
+                drop(now)
+                return groups if groups is not None else buckets.select(F.col("node"), F.col("node").alias("root")).limit(0)
+            whole = True
+            drop(now)
+            continue
         pairs = asked.select("a", "b").distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         judged = cut(confirm(pairs, texts, least, words), "judged")
@@ -275,9 +285,7 @@ def linked(docs: DataFrame, rows: DataFrame, least: int = LEAST, words: int = WO
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             groups = cut(components(links), "groups")
-        elif whole or met(now, most).isEmpty():
-            return groups if groups is not None else found.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        else:
+        elif pairs.isEmpty():  # parts that are dealt anew ask only what is known: from now on parts stay
             whole = True
         failed = cut(asked.join(tried.where("not ok"), ["a", "b"]).select("key", "a", "b"), "refused")
         refused = failed if refused is None else refused.unionByName(failed)
