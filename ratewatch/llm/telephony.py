@@ -97,12 +97,31 @@ def encode_adpcm(pcm: np.ndarray, size: int = UNIT) -> np.ndarray:
     return np.concatenate([head, (nibbles[::2] | nibbles[1::2] << 4).T.astype(np.uint8)], axis=1)
 
 
-def resample(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate: each sample, and the floor of the mean with its successor (the last one stands alone)."""
-    x = pcm.astype(np.int32)
-    out = np.empty(2 * len(x), np.int16)
-    out[::2] = x
-    out[1::2] = (x + np.append(x[1:], x[-1:])) >> 1
+def phases(up: int, half: int = 16, beta: float = 8.0) -> np.ndarray:
+    """Taps (of sum 2 ** 15) between two samples for each of the ``up - 1`` places there: a sinc under a Kaiser window of ``2 * half`` samples."""
+    n = np.arange(1 - half, half + 1)
+    t = np.arange(1, up)[:, None] / up - n
+    taps = np.sinc(t) * np.i0(beta * np.sqrt(np.maximum(0, 1 - (t / half) ** 2)))
+    whole = np.rint(taps / taps.sum(axis=1, keepdims=True) * (1 << 15)).astype(np.int64)
+    whole[:, half - 1] += (1 << 15) - whole.sum(axis=1)
+    return whole
+
+
+_UP = 2
+_PHASES = phases(_UP)
+
+
+def resample(pcm: np.ndarray, taps: np.ndarray = _PHASES) -> np.ndarray:
+    """So many times the rate by a polyphase filter: the samples stay, those between them are weighted sums of their neighbours.
+
+    In whole numbers, so that results are the same everywhere. The first and the last sample go on beyond the ends.
+    """
+    up, half = len(taps) + 1, taps.shape[1] // 2
+    x = np.pad(pcm.astype(np.int64), (half - 1, half), mode="edge")
+    out = np.empty(up * len(pcm), np.int16)
+    out[::up] = pcm
+    for i, h in enumerate(taps):
+        out[i + 1 :: up] = np.clip((np.convolve(x, h[::-1], "valid") + (1 << 14)) >> 15, -32768, 32767)
     return out
 
 

@@ -517,6 +517,22 @@ def test_tables_and_blocks():
         assert pcm.tolist() == out
 
 
+@pytest.mark.parametrize("hertz", [300, 1000, 2000, 3000, 3400])
+@pytest.mark.parametrize("up", [2, 3])
+def test_resampling_keeps_a_tone_and_no_image(hertz, up):
+    """The tone comes out as it would have been sampled at the higher rate; its images are 40 dB down and more."""
+    n = 4000
+    tone = lambda rate, k: 12_000 * np.sin(2 * np.pi * hertz * np.arange(k) / rate)
+    wide = telephony.resample(np.rint(tone(8000, n)).astype(np.int16), telephony.phases(up)).astype(float)
+    assert (wide[::up] == np.rint(tone(8000, n))).all()
+    inner = slice(50 * up, (n - 50) * up)
+    assert np.abs(wide - tone(8000 * up, n * up))[inner].max() < 0.012 * 12_000
+    spectrum = np.abs(np.fft.rfft(wide[inner] * np.hanning(len(wide[inner]))))
+    at = lambda f: spectrum[int(round(f * len(wide[inner]) / (8000 * up))) + np.arange(-3, 4)].max()
+    assert 20 * np.log10(at(hertz) / at(8000 - hertz)) > 40
+    assert telephony.resample(np.full(100, -777, np.int16)).tolist() == [-777] * 200
+
+
 def test_adpcm_keeps_a_tone():
     tone = (8000 * np.sin(np.arange(377 * 3) * 0.1)).astype(np.int16).reshape(3, 377)
     again = telephony.decode_adpcm(telephony.encode_adpcm(tone))
@@ -562,7 +578,10 @@ def test_features_by_hand(spark):
         payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
         codec = ("mulaw", "alaw", "adpcm")[zlib.crc32(payload) % 3]
         pcm = plain_pcm(codec, payload)
-        wide = [v for i, x in enumerate(pcm) for v in (x, (x + pcm[min(i + 1, len(pcm) - 1)]) // 2)]
+        (taps,) = telephony.phases(2).tolist()
+        beyond = [pcm[0]] * 15 + list(pcm) + [pcm[-1]] * 16
+        between = [(sum(h * beyond[i + n] for n, h in enumerate(taps)) + 2**14) >> 15 for i in range(len(pcm))]
+        wide = [v for x, y in zip(pcm, between) for v in (x, max(-32768, min(32767, y)))]
         data = struct.pack(f"<{len(wide)}h", *wide)
         crossings = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))
         assert some[d].feature == f"{codec} samples={len(pcm)} peak={max(map(abs, pcm))} level={sum(map(abs, pcm)) // len(pcm)} crossings={crossings} pcm16k={zlib.crc32(data):08x}"
