@@ -15,7 +15,7 @@ from ratewatch.operators import news, panel, report
 from ratewatch.plans.steps import written
 from ratewatch.sources import ledger
 from ratewatch.sources.news import read_feeds, read_news_json
-from ratewatch.sources.rates import read_rates_json, with_fallback
+from ratewatch.sources.rates import read_rates_html, read_rates_json, read_rates_table, with_fallback
 from ratewatch.sources.sinks import post_outbox
 
 
@@ -88,14 +88,21 @@ def run_daily(fx: DataFrame, articles: DataFrame, run_date: date, horizon: int =
     return Daily(summary, forecasts, ensemble, metrics, analyzed, reports, outbox, errors, kept)
 
 
-def run_landed(spark: SparkSession, rates: str, run_date: date, feeds: Sequence[str] = (), answers: Sequence[str] = (), spare: DataFrame | None = None, **options) -> Daily:
+def run_landed(spark: SparkSession, rates: str, run_date: date, feeds: Sequence[str] = (), answers: Sequence[str] = (), spare: DataFrame | None = None, tables: Mapping[str, str] | None = None, pages: Mapping[str, str] | None = None, **options) -> Daily:
     """``run_daily`` from landed files: rates as JSON, RSS or Atom ``feeds`` and JSON ``answers``, in this order of arrival.
 
-    A series without readable rates comes from ``spare (series_id, ds, y)`` as a whole. What can't be read is an error row.
+    A series without readable rates comes as a whole from the first of these that has it: ``spare (series_id, ds, y)``, day-first text
+    ``tables`` and HTML ``pages`` (each a path by series). What can't be read is an error row.
     """
     fx, errors = read_rates_json(spark, rates)
-    if spare is not None:
-        fx = with_fallback(fx, spare)
+    others = [spare] if spare is not None else []
+    others += [read_rates_table(spark, path, series_id) for series_id, path in (tables or {}).items()]
+    for series_id, path in (pages or {}).items():
+        rows, unread = read_rates_html(spark, path, series_id)
+        others.append(rows)
+        errors = errors.unionByName(unread)
+    for other in others:
+        fx = with_fallback(fx, other)
     run_ts = F.lit(run_date.isoformat()).cast("timestamp")
     read = [read(spark, path, run_ts, rank) for rank, (read, path) in enumerate([*((read_feeds, p) for p in feeds), *((read_news_json, p) for p in answers)])]
     if read:

@@ -529,6 +529,13 @@ def test_daily_run_from_landed_files(spark, tmp_path):
     assert {(r.title, r.severity) for r in run.analyzed.collect()} == {("oil", "high"), ("t", "low")}
     assert sorted((r.stage, r.message) for r in run.errors.collect()) == [("news", "unreadable file"), ("rates", "too many calls")]
     run.close()
+    (tmp_path / "limit.csv").write_text("fecha;valor\n" + "".join(f"{d:%d/%m/%Y};3950,25\n" for d in business_days(50)))
+    (tmp_path / "page.html").write_text("<table>" + "".join(f"<tr><td>{d:%d/%m/%Y}</td><td>12,5</td></tr>" for d in business_days(50)) + "</table>")
+    (tmp_path / "none.html").write_text("<p>down for today")
+    run = run_landed(spark, str(tmp_path / "rates"), date(2023, 3, 25), tables={"limit": str(tmp_path / "limit.csv"), "good": str(tmp_path / "limit.csv")}, pages={"page": str(tmp_path / "page.html"), "none": str(tmp_path / "none.html")}, models=models)
+    assert {r.series_id: r.latest_rate for r in run.summary.collect()} == {"good": 4059.0, "limit": 3950.25, "page": 12.5}
+    assert sorted((r.series_id, r.stage, r.message.split(":")[0]) for r in run.errors.collect()) == [("limit", "rates", "too many calls"), ("none", "rates", "no table rows")]
+    run.close()
     bare = run_landed(spark, str(tmp_path / "rates"), date(2023, 3, 25), models=models)
     assert bare.analyzed.count() == 0 and news.NO_NEWS in bare.reports.first().report
     bare.close()
