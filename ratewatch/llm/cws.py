@@ -13,6 +13,8 @@ A document and its edited copy are fingerprinted together: words before the edit
 Defined results: a null text counts as empty; a text without words has only the digits ffff, and is like any other such
 text; rows equal in doc_id and text are one document whose result is given for each row; equal doc_ids with other texts
 follow one another by a hash of the text; an empty table gives an empty table. doc_id is an integer; null comes last.
+Texts of any length are counted whole; of terms with the same least draw it makes no difference which one is meant; further
+columns aren't looked at.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ Defined results: a null text counts as empty; edits are applied one after anothe
 edit beyond the end is cut to it, and one with a null bound or text changes nothing; rows are counted each on their own,
 so repeated rows and further columns don't matter; an empty table gives an empty table. Special tokens' names are
 ordinary text here.
+Texts of any length are one tree each; nothing is chosen, so there are no ties.
 """
 
 from __future__ import annotations

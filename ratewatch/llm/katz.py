@@ -18,6 +18,7 @@ Keys are hashes of n-grams; a bucket's number and 40 more bits tell them apart (
 
 Defined results: a null text counts as empty and has one token, its end; a null doc_id is not held out; repeated rows are
 scored each, and count in training each; without training text every probability is 1; an empty table gives an empty table.
+Texts of any length are scored whole; nothing is chosen, so there are no ties; further columns aren't looked at.
 """
 
 from __future__ import annotations

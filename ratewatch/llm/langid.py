@@ -16,6 +16,7 @@ text; everything else covers all rows. A-Z are read as a-z.
 Defined results: a null text or one without a letter is ``und`` with score 0; if nothing can be learned, all are;
 ties go to the first language by name; repeated rows are scored alike, and learned from once; an empty table gives an
 empty table.
+Texts of any length are scored whole; ``keep_known`` keeps further columns, ``identify`` doesn't look at them.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ it are still apart when that brings nothing new, each two parts of it meet in a
 Defined results: a text of fewer than five words is one shingle; texts without words (null or empty too) are copies of
 each other; nodes and shingles are 64-bit hashes; rows that repeat in key and text are one; an empty table gives an empty
 table; further columns, whatever their names, stay as they are.
+Texts of any length are compared whole; all close pairs between groups are judged, so ties of estimates don't matter.
 """
 
 from __future__ import annotations

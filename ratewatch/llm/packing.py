@@ -15,6 +15,8 @@ its tokens fill, which needs no padding; so is the rest at the end of a partitio
 
 Defined results: a null text counts as empty, and an empty text still gives its end id, a piece of one token;
 repeated rows (and equal doc_ids) are packed once each; an empty table gives an empty table.
+Texts of any length are cut into pieces; of pieces that match alike the one that is first in the pool is taken; further
+columns aren't looked at.
 """
 
 from __future__ import annotations

@@ -112,6 +112,23 @@ def op12_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+#: Targets of op12: the level is the highest that any set of the first sources to stop gives.
+MIX_TARGETS_SQL = r"""
+WITH sized AS (SELECT source, sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) AS s FROM documents GROUP BY 1),
+weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM sized),
+stops AS (SELECT *, 1.5 * sum(s) OVER () AS total, sum(w) OVER () AS every, sum(2.0 * s) OVER k AS given, sum(w) OVER () - sum(w) OVER k AS open
+          FROM weighed WINDOW k AS (ORDER BY 2.0 * s / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+level AS (SELECT greatest(max(total / every), max(CASE WHEN open > 0.5 THEN (total - given) / open END)) AS l FROM stops)
+SELECT source, s::BIGINT AS source_size, round(least(2.0 * s, w * l), 6)::DOUBLE AS target FROM weighed CROSS JOIN level
+"""
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op12 aims at: the words to take from each source."""
+    found = mixing.targets(cut(mixing.records(documents(spark, sf_dir)), "mix-records"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return found.select("source", "source_size", F.round("target", 6).alias("target"))
+
+
 def op13_lattice_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged conversations with their faults and the cheapest edits that repair them."""
     summary, _ = repair.repair(repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
@@ -199,8 +216,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_pair_bitmaps": op11_pair_bitmaps,
         "op12_pivotal_mixing": op12_pivotal_mixing,
         "op13_lattice_repair": op13_lattice_repair,
+        "mix_targets": mix_targets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_lattice_repair": OP13_SQL}
+    return {"op13_lattice_repair": OP13_SQL, "mix_targets": MIX_TARGETS_SQL}

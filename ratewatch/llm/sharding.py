@@ -7,6 +7,7 @@ version 1 on, whether a record is in it or not, so that records that come later
 
 Defined results: a null text has no bytes (size 8, checksum 0); a null doc_id is hashed by its text's checksum;
 repeated rows share a slot and get places of their own, in no particular order; an empty table gives an empty table.
+Texts of any length are only measured; slots with the same bytes go by their number; further columns aren't looked at.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ of the verified links is emitted, a link a row at most; components don't need mo
 Defined results: a text without words (null or empty too) has fingerprint zero, linked like any other; repeated rows
 are copies of each other; a null doc_id is never a component's id unless its whole component has none; an empty table
 gives an empty table.
+Texts of any length are hashed whole, in parts; a bit that exactly half of the shingles have is 0; further columns aren't looked at.
 """
 
 from __future__ import annotations

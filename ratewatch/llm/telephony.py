@@ -8,6 +8,8 @@ on each other.
 Defined results: a null text counts as empty; an empty payload is one unit of blanks; the codec hangs on the payload
 alone, so equal texts have equal media; bytes that no encoder would write (a step index above 88) are clipped; repeated
 rows are done alike; an empty table gives an empty table.
+Texts of any length are one file each; of two nibbles that come as near the smaller is written; further columns aren't
+looked at.
 """
 
 from __future__ import annotations

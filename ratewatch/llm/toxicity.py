@@ -13,6 +13,7 @@ scored.
 Defined results: a null text counts as empty and is scored like an empty text; repeated rows are scored alike; labels
 that are null or have no document are not learned from, and rows with equal doc_ids each count; without labels of both
 kinds every score is the share of toxic labels (0 if there are none); an empty table gives an empty table.
+Texts of any length are scored whole; a score of exactly 0.5 is toxic; ``keep_clean`` keeps further columns.
 """
 
 from __future__ import annotations

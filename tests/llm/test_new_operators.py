@@ -195,6 +195,11 @@ def test_op12_meets_its_targets(spark):
     check_mix([r.asDict() for r in docs.collect()], mixing.mix_documents(docs, weights=(1, 3), share=0.4, most=1.0).collect(), (1, 3), 0.4, 1.0)
 
 
+def test_targets_match_sql(spark, duck):
+    got = {(r.source, r.source_size, r.target) for r in queries.mix_targets(spark, SF).collect()}
+    assert got == set(duck.sql(queries.MIX_TARGETS_SQL).project("source, source_size, target").fetchall())
+
+
 def test_op12_odd_rows_and_repeats(spark, odd, empty):
     check_mix([r.asDict() for r in odd.select("doc_id", "source", "text").collect()], mixing.mix_documents(odd).collect())
     many = spark.createDataFrame([(1, "a b c", "hot")] * 500 + [(None, "a b", None)] * 40 + [(i, f"x{i} y z w", "big") for i in range(900)], "doc_id long, text string, source string").repartition(6)
