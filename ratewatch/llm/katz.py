@@ -13,8 +13,8 @@ tokens as numbers into them. A block asks for what it needs, each distinct n-gra
 key's leading bits, and gets its answers back, in the order of its sorted keys. Buckets hold a bounded share each, as their
 number follows the input without a limit. A question is a row for each block and bucket: their number grows with the square
 of the input while their bytes grow with it, so blocks have to grow, too, for corpora of some 100 billion tokens and more.
-Keys are hashes of n-grams; a bucket's number and 40 more bits tell them apart (of the two million keys of a bucket one in
-500,000 shares its bits with another). Backoff weights travel with ten digits.
+Keys are hashes: of words all 64 bits, of longer n-grams a bucket's number and 40 more bits, which tell them apart (of the two million keys
+of a bucket one in 500,000 shares its bits with another). Backoff weights travel with ten digits.
 
 Defined results: a null text counts as empty and has one token, its end; a null doc_id is not held out; repeated rows are
 scored each, and count in training each; without training text every probability is 1; an empty table gives an empty table.
@@ -143,19 +143,24 @@ class Block:
         return self.before(self.grams(level - 1), BEFORE + np.uint64(level))
 
 
-#: Bits that tell the keys of a bucket apart.
+#: Bits that tell the keys of longer n-grams in a bucket apart. Words have all their bits.
 KEY_BITS = 40
 
 
-def _sorted(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, cut to the bucket's bits and KEY_BITS more, and where each of the given ones is among them."""
-    return np.unique(keys >> np.uint64(max(0, 64 - KEY_BITS - bits)), return_inverse=True)
+def _cut_off(level: int, bits: int) -> int:
+    """How many bits the keys of n-grams of a level go without."""
+    return 0 if level == 1 else max(0, 64 - KEY_BITS - bits)
 
 
-def _slices(keys: np.ndarray, bits: int):
+def _sorted(keys: np.ndarray, bits: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, without what is cut off, and where each of the given ones is among them."""
+    return np.unique(keys >> np.uint64(_cut_off(level, bits)), return_inverse=True)
+
+
+def _slices(keys: np.ndarray, bits: int, level: int):
     """Bucket, and the slice of the sorted keys in it."""
-    low = np.uint64(min(KEY_BITS, 64 - bits))
-    buckets = (keys >> low).astype(np.int64)
+    low = np.uint64(64 - bits - _cut_off(level, bits))
+    buckets = (keys >> low).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(keys) else []
     for s, e in zip(starts, [*starts[1:], len(keys)]):
         yield int(buckets[s]), slice(s, e)
@@ -199,10 +204,10 @@ def ask_counts(table: DataFrame, order: int, bits: int) -> DataFrame:
         for batch in batches:
             for row, block in _each(batch):
                 for level in range(1, order + 1):
-                    keys, at = _sorted(block.grams(level), bits)
+                    keys, at = _sorted(block.grams(level), bits, level)
                     n, others = (np.bincount(at[on], minlength=len(keys)) for on in (block.train, ~block.train))
                     n = (2 * n + (others > 0)).astype(np.uint32)
-                    for bucket, s in _slices(keys, bits):
+                    for bucket, s in _slices(keys, bits, level):
                         yield _ask(f"gram {level}", bucket, row["block"], _steps(keys[s]), squeeze(n[s]))
 
     return table.mapInArrow(run, ASK)
@@ -277,7 +282,7 @@ class Known:
     def keys(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """The block's distinct n-grams, and where each token's is among them."""
         if level not in self.distinct:
-            self.distinct[level] = _sorted(self.block.grams(level), self.bits)
+            self.distinct[level] = _sorted(self.block.grams(level), self.bits, level)
         return self.distinct[level]
 
     def counts(self, level: int) -> np.ndarray:
@@ -313,7 +318,7 @@ class Known:
         Contexts are the shorter n-grams one token before, which are sorted already, and a document's beginning.
         """
         keys, at = self.keys(level - 1)
-        begin = (BEFORE + np.uint64(level)) >> np.uint64(max(0, 64 - KEY_BITS - self.bits))
+        begin = (BEFORE + np.uint64(level)) >> np.uint64(_cut_off(level - 1, self.bits))
         i = int(np.searchsorted(keys, begin))
         if i == len(keys) or keys[i] != begin:
             keys, at = np.insert(keys, i, begin), at + (at >= i)
@@ -355,7 +360,7 @@ def ask_alphas(answered: DataFrame, level: int, levels: list[Level], bits: int,
                 open_keys[at] = block.before(known.open[level - 1], True)
                 some = need | (n > 0) & open_keys
                 keys, n, lost, seen, need = keys[some], n[some], lost[some], seen[some], need[some]
-                for bucket, s in _slices(keys, bits):
+                for bucket, s in _slices(keys, bits, level - 1):
                     yield _ask(f"alpha {level}", bucket, row["block"], _steps(keys[s]), squeeze(n[s]), _short(lost[s]), _short(seen[s]), squeeze(need[s].astype(np.uint8)))
 
     return answered.mapInArrow(run, ASK)
