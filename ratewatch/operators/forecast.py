@@ -281,15 +281,18 @@ def ma_profile(fx: DataFrame, thetas: Sequence[float], horizon: int = 1) -> Data
     return fx.select("series_id", "ds", "y").repartition(tasks, "series_id").sortWithinPartitions("series_id", "ds").mapInArrow(run, f"series_id {kind}, theta double, sigma double, loglik double, yhat double, half double")
 
 
-def forecast_all(fx: DataFrame, models: Mapping[str, Model], horizon: int, keys: tuple[str, ...] = KEYS, series: DataFrame | None = None, kept: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def forecast_all(fx: DataFrame, models: Mapping[str, Model], horizon: int, keys: tuple[str, ...] = KEYS, series: DataFrame | None = None, kept: list[DataFrame] | None = None, keep: bool = True) -> tuple[DataFrame, DataFrame]:
     """Forecasts of all models that fit, and errors: for each failure, for series that no model fits, and for series without data.
 
-    What the models give is kept, so that each series is fit once for both tables; ``kept`` gets it, to be freed later.
+    What the models give is kept, so that each series is fit once for both tables; ``kept`` gets it, to be freed later. Who takes
+    one of the tables alone needs no ``keep``.
     """
     if not 1 <= horizon <= 30:
         raise ValueError("the horizon is 1 to 30 days")
-    every = reduce(lambda a, b: a.unionByName(b), [model(fx, horizon, keys) for model in models.values()]).persist(StorageLevel.MEMORY_AND_DISK)
-    if kept is not None:
+    every = reduce(lambda a, b: a.unionByName(b), [model(fx, horizon, keys) for model in models.values()])
+    if keep:
+        every = every.persist(StorageLevel.MEMORY_AND_DISK)
+    if keep and kept is not None:
         kept.append(every)
     good = every.where(F.col("error").isNull()).drop("error")
     failed = every.where(F.col("error").isNotNull())
@@ -341,16 +344,16 @@ def fold_tests(fx: DataFrame, h: int = 7, k: int = 4) -> DataFrame:
     return rows.withColumns({"first": first, "last": last}).where("first <= last").select("series_id", F.explode(F.sequence("first", "last")).alias("fold"), "ds", "y")
 
 
-def walk_forward_eval(fx: DataFrame, model: Model, h: int = 7, k: int = 4, kept: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def walk_forward_eval(fx: DataFrame, model: Model, h: int = 7, k: int = 4, kept: list[DataFrame] | None = None, keep: bool = True) -> tuple[DataFrame, DataFrame]:
     """Accuracy by fold, and errors (folds that can't be fit, or whose forecast dates meet no rate).
 
     A model without ``folds`` gets the training rows of each fold. Forecasts are kept, so that each fold is fit once for both
-    tables; ``kept`` gets them, to be freed later.
+    tables; ``kept`` gets them, to be freed later. ``keep`` as in ``forecast_all``.
     """
     keys = ("series_id", "fold")
     forecasts = model.folds(fx, h, k) if hasattr(model, "folds") else model(walk_forward_folds(fx, h, k).where("part = 'train'"), h, keys)
-    every = forecasts.persist(StorageLevel.MEMORY_AND_DISK)
-    if kept is not None:
+    every = forecasts.persist(StorageLevel.MEMORY_AND_DISK) if keep else forecasts
+    if keep and kept is not None:
         kept.append(every)
     test = fold_tests(fx, h, k)
     sizes = test.groupBy(*keys).agg(F.count("*").alias("rows"))
@@ -360,9 +363,9 @@ def walk_forward_eval(fx: DataFrame, model: Model, h: int = 7, k: int = 4, kept:
     return metrics, failed.unionByName(lost)
 
 
-def backtest(fx: DataFrame, models: Mapping[str, Model], horizon: int = 7, kept: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Accuracy of every model on the last ``horizon`` rows, fit on the others; and errors of those that fail. ``kept`` as in ``forecast_all``."""
+def backtest(fx: DataFrame, models: Mapping[str, Model], horizon: int = 7, kept: list[DataFrame] | None = None, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Accuracy of every model on the last ``horizon`` rows, fit on the others; and errors of those that fail. ``kept`` and ``keep`` as in ``forecast_all``."""
     train, test = holdout_split(fx, horizon)
-    forecasts, failed = forecast_all(train, models, horizon, kept=kept)
+    forecasts, failed = forecast_all(train, models, horizon, kept=kept, keep=keep)
     metrics, lost = evaluate(forecasts, test)
     return metrics, failed.withColumn("stage", F.lit("backtest")).unionByName(lost)

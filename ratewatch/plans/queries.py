@@ -312,7 +312,7 @@ _BAND = ["yhat", "yhat_lower", "yhat_upper"]
 
 
 def _forecasts(spark, sf_dir):
-    return fc.forecast_all(t.nation_panel(spark, sf_dir), _baselines(), HORIZON)[0]
+    return fc.forecast_all(t.nation_panel(spark, sf_dir), _baselines(), HORIZON, keep=False)[0]
 
 
 @query(t.with_tables(f"SELECT series_id, step, ds, round(yhat, 2) AS yhat, round(yhat_lower, 2) AS yhat_lower, round(yhat_upper, 2) AS yhat_upper FROM ({_ENSEMBLE})", "nation_panel"))
@@ -323,7 +323,7 @@ def fc_ensemble(spark, sf_dir):
 @query(t.with_tables(f"SELECT series_id, model_name, {_ROUNDED} FROM ({_metrics_sql(_baseline_sql('(SELECT * FROM nation_panel WHERE ds <= DATE ' + chr(39) + '2001-01-01' + chr(39) + ')'), 'nation_panel')})", "nation_panel"))
 def fc_evaluate(spark, sf_dir):
     fx = t.nation_panel(spark, sf_dir)
-    forecasts, _ = fc.forecast_all(fx.where(F.col("ds") <= date(2001, 1, 1)), _baselines(), HORIZON)
+    forecasts, _ = fc.forecast_all(fx.where(F.col("ds") <= date(2001, 1, 1)), _baselines(), HORIZON, keep=False)
     return fc.evaluate(forecasts, fx)[0].withColumns(_r(2, *_METRICS))
 
 
@@ -339,12 +339,12 @@ def fc_folds(spark, sf_dir):
     )
 )
 def fc_walk_forward_baseline(spark, sf_dir):
-    return fc.walk_forward_eval(t.nation_panel(spark, sf_dir), fc.baseline_model("drift"))[0].withColumns(_r(2, *_METRICS))
+    return fc.walk_forward_eval(t.nation_panel(spark, sf_dir), fc.baseline_model("drift"), keep=False)[0].withColumns(_r(2, *_METRICS))
 
 
 @query(t.with_tables(f"SELECT series_id, model_name, {_ROUNDED} FROM ({_BACKTEST})", "nation_panel"))
 def fc_backtest_baseline(spark, sf_dir):
-    return fc.backtest(t.nation_panel(spark, sf_dir), _baselines(), HORIZON)[0].withColumns(_r(2, *_METRICS))
+    return fc.backtest(t.nation_panel(spark, sf_dir), _baselines(), HORIZON, keep=False)[0].withColumns(_r(2, *_METRICS))
 
 
 @query()
@@ -386,7 +386,7 @@ def fc_ma_profile(spark, sf_dir):
 
 @query()
 def fc_all(spark, sf_dir):
-    return fc.forecast_all(t.nation_panel(spark, sf_dir), _models(), HORIZON)[0]
+    return fc.forecast_all(t.nation_panel(spark, sf_dir), _models(), HORIZON, keep=False)[0]
 
 
 @query(t.with_tables(f"SELECT series_id, model_name, model_rank, step, ds, true AS in_band FROM ({_FUTURE.format(panel='nation_panel')}) CROSS JOIN (VALUES ('trend', 0), ('arima', 1)) v(model_name, model_rank)", "nation_panel"))
@@ -398,12 +398,12 @@ def fc_all_days(spark, sf_dir):
 
 @query()
 def fc_walk_forward(spark, sf_dir):
-    return fc.walk_forward_eval(t.nation_panel(spark, sf_dir), fc.arima_model())[0]
+    return fc.walk_forward_eval(t.nation_panel(spark, sf_dir), fc.arima_model(), keep=False)[0]
 
 
 @query()
 def fc_backtest(spark, sf_dir):
-    return fc.backtest(t.nation_panel(spark, sf_dir), _models(), HORIZON)[0]
+    return fc.backtest(t.nation_panel(spark, sf_dir), _models(), HORIZON, keep=False)[0]
 
 
 # -- report
@@ -427,13 +427,13 @@ def report_table(spark, sf_dir):
 
 @query(t.with_tables(_LINES, "nation_panel"))
 def report_metrics(spark, sf_dir):
-    return report.metrics_section(fc.backtest(t.nation_panel(spark, sf_dir), _baselines(), HORIZON)[0])
+    return report.metrics_section(fc.backtest(t.nation_panel(spark, sf_dir), _baselines(), HORIZON, keep=False)[0])
 
 
 def _reports(spark, sf_dir, pairs=None):
     fx = t.nation_panel(spark, sf_dir)
     told = news.fold_narratives(news.parse_reply(t.replies(spark, sf_dir)), "2001-08-01")
-    return report.build_reports(panel.fx_summary(fx), told, fc.ensemble(_forecasts(spark, sf_dir))[0], fc.backtest(fx, _baselines(), HORIZON)[0], "2001-08-01", HORIZON, pairs=pairs)
+    return report.build_reports(panel.fx_summary(fx), told, fc.ensemble(_forecasts(spark, sf_dir))[0], fc.backtest(fx, _baselines(), HORIZON, keep=False)[0], "2001-08-01", HORIZON, pairs=pairs)
 
 
 @query(t.with_tables(_REPORT, "nation_panel"))

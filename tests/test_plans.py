@@ -62,3 +62,10 @@ def test_a_stored_panel_needs_no_exchange(spark, tmp_path):
     assert "Exchange" in loose._jdf.queryExecution().executedPlan().toString()
     told = lambda df: {(r.series_id, r.step): r.yhat for r in df.collect()}
     assert told(fc.arima_model(dealt=True)(recent, 7)) == pytest.approx(told(fc.arima_model()(panel.lookback(fx, date(2001, 8, 1)), 7)), rel=1e-6)
+
+
+def test_queries_leave_nothing_cached(spark):
+    spark.catalog.clearCache()
+    for name in ("fc_ensemble", "fc_walk_forward_baseline", "fc_backtest", "report_posts"):
+        queries()[name](spark, SF)
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
