@@ -359,13 +359,15 @@ def fc_arima(spark, sf_dir):
 
 _THETAS = [x / 10 for x in range(-9, 10)]
 #: Exact innovations of a moving average of first differences: their variance in units of the noise's begins at 1 + theta^2.
-_PROFILE = f"""SELECT series_id, theta, round(sqrt(s / n), 4) AS sigma, round(-0.5 * (n * (ln(2 * pi() * s / n) + 1) + logs), 4) AS loglik,
+_PROFILE = """SELECT series_id, theta, round(sqrt(s / n), 4) AS sigma, round(-0.5 * (n * (ln(2 * pi() * s / n) + 1) + logs), 4) AS loglik,
   round(y + theta * v / f, 4) AS yhat, round(1.959963984540054 * sqrt(s / n * (1 + theta * theta - theta * theta / f + 6 * (1 + theta) * (1 + theta))), 4) AS half FROM run WHERE rn = last"""
 
 
 @query(
     t.with_tables(
-        f"""grid AS (SELECT series_id, ds, y FROM (SELECT g.series_id, g.ds, last_value(p.y IGNORE NULLS) OVER (PARTITION BY g.series_id ORDER BY g.ds) AS y FROM
+        _PROFILE,
+        "orders_panel",
+        more=f"""grid AS (SELECT series_id, ds, y FROM (SELECT g.series_id, g.ds, last_value(p.y IGNORE NULLS) OVER (PARTITION BY g.series_id ORDER BY g.ds) AS y FROM
   (SELECT series_id, CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS DATE) AS ds FROM orders_panel GROUP BY 1) g
   LEFT JOIN orders_panel p ON g.series_id = p.series_id AND g.ds = p.ds WHERE isodow(g.ds) < 6) WHERE y IS NOT NULL),
 steps AS MATERIALIZED (SELECT series_id, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY series_id) - 1 AS last, y, y - lag(y) OVER w AS w FROM grid WINDOW w AS (PARTITION BY series_id ORDER BY ds)),
@@ -374,10 +376,8 @@ run AS (
   FROM steps CROSS JOIN (SELECT CAST(unnest({_THETAS}) AS DOUBLE) AS theta) WHERE rn = 1
   UNION ALL
   SELECT series_id, theta, rn, last, y, w - theta * v / f, g, s + (w - theta * v / f) * (w - theta * v / f) / g, logs + ln(g), n + 1
-  FROM (SELECT r.series_id, theta, p.rn, p.last, p.y, p.w, v, f, s, logs, n, 1 + theta * theta - theta * theta / f AS g FROM run r JOIN steps p ON p.series_id = r.series_id AND p.rn = r.rn + 1))
-{_PROFILE}""",
-        "orders_panel",
-    ).replace("WITH ", "WITH RECURSIVE ", 1).replace(") grid AS", "), grid AS", 1)
+  FROM (SELECT r.series_id, theta, p.rn, p.last, p.y, p.w, v, f, s, logs, n, 1 + theta * theta - theta * theta / f AS g FROM run r JOIN steps p ON p.series_id = r.series_id AND p.rn = r.rn + 1))""",
+    )
 )
 def fc_ma_profile(spark, sf_dir):
     """Exact likelihood of ARIMA(0,1,1) over given parameters, and the level that each forecasts a week ahead, with half its band."""

@@ -83,6 +83,7 @@ SQL = {
 }
 
 
-def with_tables(sql: str, *names: str) -> str:
-    """The statement after the definitions of these tables."""
-    return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + " " + sql
+def with_tables(sql: str, *names: str, more: str = "") -> str:
+    """The statement after the definitions of these tables, and of ``more``, which may be recursive."""
+    defined = [f"{n} AS ({SQL[n]})" for n in names] + ([more] if more else [])
+    return f"WITH {'RECURSIVE ' if more else ''}{', '.join(defined)} {sql}"
