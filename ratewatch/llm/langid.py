@@ -35,6 +35,8 @@ UNKNOWN = "und"
 ORDER = 3
 #: Labelled documents of a language that its tree is fit on, about.
 PER_LANGUAGE = 300
+#: Tasks that count it, at most.
+TASKS = 4
 #: Bits a byte from which on a text is in no language (of clean texts 999 in 1000 need fewer than 4.1), and bits on top
 #: for each text, so that a few odd words don't decide about a short one.
 MOST_BITS, FREE_BITS = 5.0, 64.0
@@ -59,20 +61,37 @@ def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, key: str = "do
     return named.join(F.broadcast(shares), "lang").where(drawn < F.col("share")).dropDuplicates(["lang", "key", "text"]).select("lang", "text")
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """``lang, gram, n``: how often each byte (lowest 8 bits) follows each ORDER bytes."""
+def task_counts(texts: DataFrame) -> DataFrame:
+    """``lang, gram, n``: how often each byte (lowest 8 bits) follows each ORDER bytes, still to be summed over tasks.
+
+    The sample is bounded, so few tasks count it, each gives a gram of a language once, and how many rows come out doesn't
+    hang on how the sample was dealt.
+    """
 
     def run(batches):
+        held: dict[str, list[np.ndarray]] = {}
+
+        def counted(parts: list[np.ndarray]) -> np.ndarray:
+            values, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return np.stack([values, np.bincount(at, np.concatenate([p[1] for p in parts]), len(values)).astype(np.int64)])
+
         for batch in batches:
-            by_lang: dict[str, list[bytes]] = {}
-            for name, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                by_lang.setdefault(name, []).append(text.encode("utf-8", "replace").translate(_TO_LOWER))
-            for name, parts in by_lang.items():
-                grams = np.concatenate([_grams(p) for p in parts])
-                values, n = np.unique(grams, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
-
-    return texts.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            for part, slices in text_slices(batch):
+                by_lang: dict[str, list[np.ndarray]] = {}
+                for name, text in zip(part.column("lang").to_pylist(), slices):
+                    by_lang.setdefault(name, []).append(_grams(text.encode("utf-8", "replace").translate(_TO_LOWER)))
+                for name, grams in by_lang.items():
+                    some = np.stack(np.unique(np.concatenate(grams), return_counts=True))
+                    held[name] = [counted([*held.get(name, []), some])]
+        for name, [(values, n)] in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values), pa.array(n)], ["lang", "gram", "n"])
+
+    return texts.coalesce(TASKS).mapInArrow(run, "lang string, gram long, n long")
+
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """``lang, gram, n``: how often each byte (lowest 8 bits) follows each ORDER bytes."""
+    return task_counts(texts).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _grams(text: bytes) -> np.ndarray:

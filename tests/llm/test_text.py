@@ -434,6 +434,16 @@ def model_unseen(model, before):
     return np.exp2(-(model.code_lengths([before + b"\xfe"]) - model.code_lengths([before]))).ravel()
 
 
+def test_gram_rows_do_not_hang_on_how_texts_were_dealt(spark):
+    """Of a sample in very many partitions each gram comes out a few times at most, with the same sums."""
+    rows = [("en", f"the same few words again and again {i % 3}") for i in range(300)] + [("de", "immer wieder dasselbe"), ("de", "")]
+    texts = spark.createDataFrame(rows, "lang string, text string")
+    counts = {tuple(r) for r in langid.gram_counts(texts.coalesce(1)).collect()}
+    dealt = texts.repartition(60)
+    assert {tuple(r) for r in langid.gram_counts(dealt).collect()} == counts
+    assert langid.task_counts(dealt).count() <= langid.TASKS * len(counts)
+
+
 def test_language_query(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = queries()["op5_ppm_language"](spark, SF).collect()
