@@ -5,13 +5,17 @@ from the start. Nodes meet in buckets: a bucket for each group that ``simhash``
 miss much at 0.8 (9.7 of 64 differ there, with a deviation of 2.9), for each of ``BANDS`` bands of the least of
 ``ROWS`` permutations of the shingles. Two texts of similarity s share a band with chance 1 - (1 - s ** ROWS) ** BANDS,
 0.999997 at 0.8, and none by chance as the corpus grows. Within a bucket SimHashes of 512 bits estimate how like each pair
-is, and of all pairs only a forest that spans the bucket by its best pairs comes out, fewer rows than the bucket has. Each
-of these pairs is confirmed or refused on the texts. What is confirmed makes groups; buckets that then still hold several
-groups give further forests, without the refused pairs and twice as many in each round, until no bucket has a pair between
-groups left that wasn't judged. So no link is lost to its rank, and the number of rounds grows with the logarithm of a bucket's pairs.
+is, and of all pairs that may be close only a forest that spans them comes out, fewer rows than the bucket has. What these
+forests connect is a family, and every pair that may be close lies in one.
 
-A bucket with over ``MOST`` nodes is cut by a hash, another one in each round, into parts that share a node. If groups of
-it are still apart when that brings nothing new, each two parts of it meet in a task, in every round until no pair is left.
+A family's texts come to one task, once. There all its pairs that may be close and aren't in one group yet are judged by
+their shingles, and a link of each node to its group comes out: never a row for each pair, however many are refused.
+
+A family with over ``MOST`` nodes (or ``SHINGLES`` shingles) is cut by a hash, twice, which joins most of what belongs
+together. What is still apart then meets in tasks of that size, two parts in each: the largest group's parts each meet all
+parts of the rest, and those each other, but what is one group already isn't compared again. Families that are very much
+larger meet so by bucket. The work in a family of which no two belong together grows with its pairs, spread over tasks; the
+rows with its size times its parts.
 
 Defined results: a text of fewer than five words is one shingle; texts without words (null or empty too) are copies of
 each other; nodes and shingles are 64-bit hashes; rows that repeat in key and text are one; an empty table gives an empty
@@ -39,10 +43,12 @@ BANDS, ROWS = 24, 4
 #: 64-bit words of the long SimHash, and how many of its bits may differ: at 0.8 it is 78 of 512, with a deviation of 8, and 96
 #: and 9 for texts of eight or nine words.
 WIDE, MOST_BITS = 8, 140
-#: Forests of a bucket in the first round, after which each one doubles them.
-FORESTS = 2
-#: Nodes that are compared in one place.
-MOST = 4096
+#: Nodes that are compared in one place, and shingles of their texts.
+MOST, SHINGLES = 2048, 4_000_000
+#: Parts of a family up to which it meets whole, and not by bucket.
+PARTS = BANDS
+#: Bytes of the bitmaps of a family's shingles.
+BITMAPS = 64_000_000
 _rnd = np.random.default_rng(SEED)
 _FACTORS = _rnd.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = _mix(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -92,115 +98,107 @@ def sketches(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str
     return rows.mapInArrow(run, f"key {kind}, hash long, node long, n int, fp long, wide binary, bands array<long>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
-    """``a, b, ok`` of pairs of nodes ``(a, b)``: whether their ``texts (node, text)`` are similar enough."""
-
-    def run(batches):
-        sets: dict[int, np.ndarray] = {}
+def judged(rows: DataFrame, least: int = LEAST, words: int = WORDS, most_bits: int = MOST_BITS) -> DataFrame:
+    """``a, b``: links between the groups of nodes in ``rows (key, node, root, wide, side, text)`` with the same key, a forest of each key.
 
-        def of(node, text):
-            if node not in sets:
-                if len(sets) >= 64:
-                    sets.clear()
-                sets[node] = np.unique(shingle_hashes(line_of(text), words))
-            return sets[node]
+    All pairs of different groups are judged by their texts, but not those of the same ``side``, unless it is null.
+    """
 
+    def run(batches):
+        held, key, out = [], None, []
         for whole in batches:
-            for batch, _ in text_slices(whole, "x"):
-                keep = []
-                for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
-                    one, two = of(a, x), of(b, y)
-                    both = len(np.intersect1d(one, two, assume_unique=True))
-                    keep.append(100 * both >= least * (len(one) + len(two) - both))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "ok"])
-
-    x, y = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
+            for batch, texts in text_slices(whole):
+                for k, *row, text in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "root", "wide", "side")), texts):
+                    if k != key:
+                        out += _links(held, least, most_bits)
+                        held, key = [], k
+                    held.append((*row, np.unique(shingle_hashes(line_of(text), words))))
+                if len(out) >= 10_000:
+                    yield _pairs(out)
+                    out = []
+        yield _pairs(out + _links(held, least, most_bits))
+
+    return rows.select("key", "node", "root", "wide", "side", "text").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _links(family: list[tuple], least: int, most_bits: int) -> list[tuple[int, int]]:
+    """The roots that belong together in a family of ``(node, root, wide, side, shingles)``, each with the first one of its group."""
+    n = len(family)
+    if n < 2:
+        return []
+    _, roots, wides, sides, sets = zip(*family)
+    _, first, at = np.unique(np.array(roots, np.int64), return_index=True, return_inverse=True)
+    label = before = first[at]
+    wide = np.frombuffer(b"".join(wides), np.uint64).reshape(n, -1)
+    side = np.array([-1 - i if x is None else x for i, x in enumerate(sides)])
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    both = _shared(sets)
+    label = label.copy()
+    for lag in range(1, n):
+        i = np.flatnonzero((label[:-lag] != label[lag:]) & (side[:-lag] != side[lag:]))
+        i = i[100 * np.minimum(sizes[i], sizes[i + lag]) >= least * np.maximum(sizes[i], sizes[i + lag])]
+        i = i[np.bitwise_count(wide[i] ^ wide[i + lag]).sum(axis=1, dtype=np.int32) <= most_bits]
+        if len(i):
+            common = both(i, i + lag)
+            i = i[100 * common >= least * (sizes[i] + sizes[i + lag] - common)]
+            label = _join(label, i, i + lag)
+    return [(roots[i], roots[label[i]]) for i in np.unique(before).tolist() if label[i] != i]
+
+
+def _shared(sets: tuple[np.ndarray, ...]):
+    """A function that counts the common shingles of the pairs (i, j): by bitmaps of those that several sets have, if these are small."""
+    flat = np.concatenate(sets)
+    values, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    several = counts > 1
+    width = -(-int(several.sum()) // 64)
+    if 8 * width * len(sets) > BITMAPS:
+        return lambda i, j: np.fromiter((len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist())), np.int64, len(i))
+    number, used = np.cumsum(several) - 1, several[at]
+    bit = number[at[used]]
+    maps = np.zeros((len(sets), max(1, width)), np.uint64)
+    np.bitwise_or.at(maps, (np.repeat(np.arange(len(sets)), list(map(len, sets)))[used], bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    step = max(1, 8_000_000 // (8 * maps.shape[1]))
+    return lambda i, j: np.concatenate([np.bitwise_count(maps[i[s : s + step]] & maps[j[s : s + step]]).sum(axis=1, dtype=np.int64) for s in range(0, len(i), step)])
 
 
 # -- forests of buckets
 
 
-def _best(label: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which of the pairs (i, j) with distance d make a forest of least distance; each set takes its best pair, and again."""
-    order = np.argsort(d, kind="stable")
-    i, j, out, on = i[order], j[order], [], np.arange(len(d))
-    label = label.copy()
-    while len(on):
-        on = on[label[i[on]] != label[j[on]]]
-        if not len(on):
-            break
-        _, first = np.unique(np.concatenate([label[i[on]], label[j[on]]]), return_index=True)
-        taken = np.unique(on[first % len(on)])
-        out.append(taken)
-        label = _join(label, i[taken], j[taken])
-    return order[np.concatenate(out)] if out else np.empty(0, np.int64)
-
-
-def _forest(key: np.ndarray, node: np.ndarray, root: np.ndarray, wide: np.ndarray, refused: np.ndarray, most_bits: int, times: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the pairs of the forests of all buckets; after a forest, ``times - 1`` more without its pairs."""
+def _forest(key: np.ndarray, wide: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs of the forests of all buckets, which span all pairs with at most so many different bits."""
     n = len(key)
-    changed = np.r_[True, key[1:] != key[:-1]]
-    starts = np.flatnonzero(changed)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     left = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n])) - np.arange(n) - 1  # rows of the same key after this one
-    label = np.maximum.accumulate(np.where(changed | np.r_[True, root[1:] != root[:-1]], np.arange(n), 0))
-    rows, lag = np.flatnonzero(left >= 1), 1
-    found: list[tuple[np.ndarray, ...]] = []
-    waiting = 0
-
-    def thin():
-        i, j, d = map(np.concatenate, zip(*found))
-        kept, on = [], np.arange(len(d))
-        for _ in range(times):
-            best = _best(label, i[on], j[on], d[on])
-            if not len(best):
-                break
-            kept.append(on[best])
-            on = np.delete(on, best)
-        keep = np.concatenate([np.empty(0, np.int64), *kept])
-        return [(i[keep], j[keep], d[keep])], len(keep)
-
+    label, rows, lag = np.arange(n), np.flatnonzero(left >= 1), 1
+    found = []
     while len(rows):
         near = rows[label[rows] != label[rows + lag]]
-        d = np.bitwise_count(wide[near] ^ wide[near + lag]).sum(axis=1, dtype=np.int32)
-        close = d <= most_bits
-        if close.any():
-            i, d = near[close], d[close]
-            open_pairs = ~np.isin(pair_code(node[i], node[i + lag]), refused)
-            found.append((i[open_pairs], i[open_pairs] + lag, d[open_pairs]))
-            waiting += len(found[-1][0])
-        if waiting > 500_000 + 2 * times * n:
-            found, waiting = thin()
+        near = near[np.bitwise_count(wide[near] ^ wide[near + lag]).sum(axis=1, dtype=np.int32) <= most_bits]
+        if len(near):
+            label = _join(label, near, near + lag)
         lag += 1
         rows = rows[left[rows] >= lag]
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    (i, j, _), *_ = thin()[0]
-    return i, j
-
+    found = np.flatnonzero(label != np.arange(n))
+    return found, label[found]
 
-def pair_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A number for a pair of nodes in any order."""
-    return _mix(np.minimum(a, b)) + _mix(np.maximum(a, b) ^ np.uint64(0x9E3779B97F4A7C15))
 
-
-def forests(rows: DataFrame, most_bits: int = MOST_BITS, times: int = 1) -> DataFrame:
-    """``key, a, b``: forests of the buckets in ``rows (key, node, root, wide)``; without ``wide``, ``node`` and ``root`` are a refused pair."""
-    names = ["key", "node", "root"]
+def forests(rows: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """``a, b``: forests of the buckets in ``rows (key, node, wide)``."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         size = 0
 
         def passed(table: pa.Table):
-            key, node, root = (np.asarray(table.column(c), np.int64).view(np.uint64) for c in names)
-            some = np.asarray(table.column("wide").is_valid())
-            refused = pair_code(node[~some], root[~some])
-            key, node, root = key[some], node[some], root[some]
-            wide = np.frombuffer(b"".join(table.column("wide").filter(pa.array(some)).to_pylist()), np.uint64).reshape(-1, WIDE)
-            i, j = _forest(key, node, root, wide, np.unique(refused), most_bits, times)
-            a, b = node[i].view(np.int64), node[j].view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[i].view(np.int64), np.minimum(a, b), np.maximum(a, b))], ["key", "a", "b"])
+            key, node = (np.asarray(table.column(c), np.int64) for c in ("key", "node"))
+            wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE)
+            i, j = _forest(key, wide, most_bits)
+            return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
 
         for batch in batches:
             held.append(batch)
@@ -215,25 +213,41 @@ def forests(rows: DataFrame, most_bits: int = MOST_BITS, times: int = 1) -> Data
         if size:
             yield passed(pa.Table.from_batches(held))
 
-    return rows.repartition("key").sortWithinPartitions("key", "root").mapInArrow(run, "key long, a long, b long")
+    return rows.select("key", "node", "wide").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
 
+def families(buckets: DataFrame, most: int = MOST, most_bits: int = MOST_BITS) -> DataFrame:
+    """``node, family``: what pairs that may be close connect; a bucket with over ``most`` nodes is of one family."""
+    crowded = F.broadcast(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where(F.col("n") > most).select("key", "first"))
+    close = forests(buckets.join(crowded, "key", "left_anti"), most_bits)
+    return components(close.unionByName(buckets.join(crowded, "key").select(F.col("node").alias("a"), F.col("first").alias("b")))).withColumnRenamed("root", "family")
 
-def parted(rows: DataFrame, most: int, salt: int) -> DataFrame:
-    """Buckets with over ``most`` rows in parts of about half that size, with one node in common."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / max(1, most // 2)).cast("int").alias("parts"), "first")
-    if sizes.isEmpty():
-        return rows
-    each = rows.join(sizes, "key", "left").withColumn("part", F.when(F.col("parts").isNull(), F.array(F.lit(-1))).when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(salt)), F.col("parts")).cast("int"))))
-    each = each.withColumn("part", F.explode("part"))
-    return each.select(F.when(F.col("part") < 0, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"), "node", "root", "wide")
+
+def _parts(count: str, shingles: str, most: int):
+    """Parts of half the size that is compared in one place, so that two of them fit."""
+    return F.ceil(F.greatest(F.col(count) / max(1, most // 2), F.col(shingles) / (SHINGLES // 2))).cast("int")
+
+
+def parted(rows: DataFrame, salt: int) -> DataFrame:
+    """``rows (key, parts, ...)`` in parts by a hash."""
+    return rows.withColumns({"key": F.xxhash64("key", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("parts"))), "side": F.lit(None).cast("int")})
 
 
 def met(rows: DataFrame, most: int) -> DataFrame:
-    """Buckets with over ``most`` rows once for each two of their parts, so that any two members meet in one; others as they are."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / max(1, most // 2)).cast("int").alias("parts"))
-    each = rows.join(sizes, "key", "left").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    each = each.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-    return each.select(F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"), "node", "root", "wide")
+    """``rows (key, node, root, n, wide)`` once for each two parts of a key, so that any two nodes of different groups meet; nothing of a key that is one group."""
+    groups = rows.groupBy("key", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    sums = groups.groupBy("key").agg(F.sum("rows").alias("all"), F.sum("n").alias("all_n"), F.max(F.struct("rows", "root", "n")).alias("bulk")).where(F.col("all") > F.col("bulk.rows"))
+    sizes = sums.select("key", F.col("bulk.root").alias("most_root"), F.col("bulk.rows").alias("x"), F.col("bulk.n").alias("x_n"), (F.col("all") - F.col("bulk.rows")).alias("y"), (F.col("all_n") - F.col("bulk.n")).alias("y_n"))
+    sizes = sizes.select("key", "most_root", _parts("x", "x_n", most).alias("bulk_parts"), _parts("y", "y_n", most).alias("rest_parts"))
+    each = rows.join(sizes, "key").withColumn("bulk", F.col("root") == F.col("most_root"))
+    each = each.withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("bulk"), F.col("bulk_parts")).otherwise(F.col("rest_parts"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda a, b, side: F.struct(a.alias("a"), b.alias("b"), F.lit(side).cast("int").alias("side"))
+    with_bulk = F.transform(upto("bulk_parts"), lambda i: place(i, F.col("mine"), 1))
+    with_rest = F.transform(upto("rest_parts"), lambda j: place(F.least("mine", j), F.greatest("mine", j), None))
+    of_bulk = F.transform(upto("rest_parts"), lambda j: place(F.col("mine"), j, 0))
+    each = each.withColumn("at", F.explode(F.when(F.col("bulk"), of_bulk).otherwise(F.concat(with_bulk, with_rest))))
+    return each.select(F.xxhash64("key", F.col("at.side").isNull(), "at.a", "at.b").alias("key"), "node", "root", "wide", F.col("at.side").alias("side"))
 
 
 def buckets_of(nodes: DataFrame, most_bits: int = 3) -> DataFrame:
@@ -253,45 +267,34 @@ def buckets_of(nodes: DataFrame, most_bits: int = 3) -> DataFrame:
 
 def linked(docs: DataFrame, rows: DataFrame, least: int = LEAST, words: int = WORDS, text: str = "text", most: int = MOST, most_bits: int = MOST_BITS) -> DataFrame:
     """``node, root`` of the nodes of ``rows`` (the sketches) that are linked with others."""
-    nodes = cut(rows.where("n > 0").groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("bands").alias("bands"), F.min("hash").alias("hash")), "nodes")
+    nodes = cut(rows.where("n > 0").groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("bands").alias("bands"), F.min("hash").alias("hash"), F.first("n").alias("n")), "nodes")
     buckets = cut(buckets_of(nodes), "buckets")
+    named = families(buckets, most, most_bits)
+    sizes = named.join(nodes.select("node", "n"), "node").groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    parts = F.when((F.col("rows") <= most) & (F.col("n") <= SHINGLES), 1).otherwise(_parts("rows", "n", most)).alias("parts")
+    members = cut(named.join(sizes.select("family", parts), "family").join(nodes.select("node", "wide", "hash", "n"), "node").withColumnRenamed("family", "key"), "members")
     plain, names = plain_names(docs)
-    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "hash")
-    bodies = plain.select(F.xxhash64(names[text]).alias("hash"), F.col(names[text]).alias("text")).join(wanted.select("hash"), "hash", "left_semi").dropDuplicates(["hash"])
-    texts = cut(bodies.join(wanted, "hash").select("node", "text"), "texts", "zstd")
+    bodies = plain.select(F.xxhash64(names[text]).alias("hash"), F.col(names[text]).alias("text")).join(members.select("hash"), "hash", "left_semi").dropDuplicates(["hash"])
+    texts = cut(bodies.join(members.select("hash", "node"), "hash").select("node", "text"), "texts", "zstd")
     drop(nodes)
 
-    groups = links = tried = refused = None
-    turn, whole = 0, False
-    while True:
-        labelled = buckets.withColumn("root", F.col("node")) if groups is None else buckets.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        now = cut(labelled.select("key", "node", "root", "wide").join(several, "key", "left_semi"), "open-buckets")
-        ask = met(now, most) if whole else parted(now, most, turn)
-        if refused is not None:
-            ask = ask.unionByName(refused.select("key", F.col("a").alias("node"), F.col("b").alias("root"), F.lit(None).cast("binary").alias("wide")))
-        asked = cut(forests(ask, most_bits, FORESTS << turn if turn else 1), "forests")
-        if asked.isEmpty():  # no bucket has a pair between groups that wasn't judged
-            if whole or now.groupBy("key").count().where(F.col("count") > most).isEmpty():
-                drop(now)
-                return groups if groups is not None else buckets.select(F.col("node"), F.col("node").alias("root")).limit(0)
-            whole = True
-            drop(now)
-            continue
-        pairs = asked.select("a", "b").distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        judged = cut(confirm(pairs, texts, least, words), "judged")
-        tried = judged if tried is None else tried.unionByName(judged)
-        found = judged.where("ok").select("a", "b")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
+    def judge(asked: DataFrame) -> DataFrame:
+        return cut(judged(asked.join(texts, "node"), least, words, most_bits), "links")
+
+    links = judge(members.where("parts = 1").withColumns({"root": F.col("node"), "side": F.lit(None).cast("int")}))
+    large = members.where("parts > 1")
+    if not large.isEmpty():
+        for turn in range(3):
             groups = cut(components(links), "groups")
-        elif pairs.isEmpty():  # parts that are dealt anew ask only what is known: from now on parts stay
-            whole = True
-        failed = cut(asked.join(tried.where("not ok"), ["a", "b"]).select("key", "a", "b"), "refused")
-        refused = failed if refused is None else refused.unionByName(failed)
-        drop(now)
-        turn += 1
+            labelled = large.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            if turn < 2:
+                links = links.unionByName(judge(parted(labelled, turn)))
+            else:
+                asked = met(labelled.where(F.col("parts") <= PARTS), most)
+                if not (vast := labelled.where(F.col("parts") > PARTS)).isEmpty():
+                    asked = asked.unionByName(met(buckets.select("key", "node").join(vast.drop("key"), "node"), most))
+                links = links.unionByName(judge(asked))
+    return components(links)
 
 
 def near_copies(docs: DataFrame, least: int = LEAST, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:

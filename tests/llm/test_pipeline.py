@@ -154,3 +154,21 @@ def test_near_duplicates_against_all_pairs(spark):
     assert [least[found[d]] for d in range(len(texts))] == expected
     kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(expected))
+
+
+def test_judging_gives_a_forest_and_no_row_for_each_pair(spark):
+    """Hundreds of copies that are all a little too different, and one group: all pairs are judged, links alone come out."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+    texts = [edited(base, 6, rnd) for _ in range(250)] + [edited(base, 1, rnd) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_copies.sketches(docs)
+    asked = rows.join(docs, F.col("key") == F.col("doc_id")).select(F.lit(1).alias("key"), "node", F.col("node").alias("root"), "wide", F.lit(None).cast("int").alias("side"), "text")
+    links = near_copies.judged(asked).collect()
+    assert len(links) < len(texts)
+    assert len(links) == len(texts) - len(set(brute_components(texts)))
+    again = near_copies.linked(docs, rows, most=40)  # parts meet in twos
+    found = {r.key: r.root for r in rows.join(again, "node", "left").selectExpr("key", "coalesce(root, node) as root").collect()}
+    assert len(set(found.values())) == len(set(brute_components(texts)))
