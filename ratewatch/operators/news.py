@@ -60,8 +60,10 @@ def classify_keywords(articles: DataFrame, keywords: list[str] = KEYWORDS) -> Da
 
 def number_articles(articles: DataFrame, batch: str, index_base: int = 0, most: int | None = None) -> DataFrame:
     """Articles with their ``index`` in their batch, newest first."""
-    numbered = articles.withColumn("index", F.row_number().over(W.partitionBy(batch).orderBy(*newest_first())) - 1 + index_base)
-    return numbered if most is None else numbered.where(F.col("index") < most + index_base)
+    numbered = articles.withColumn("index", F.row_number().over(W.partitionBy(batch).orderBy(*newest_first())))
+    if most is not None:  # on the bare row number, so that each task hands on no more than so many of a batch
+        numbered = numbered.where(F.col("index") <= most)
+    return numbered.withColumn("index", F.col("index") - 1 + index_base)
 
 
 def build_digest(articles: DataFrame, batch: str, style: str = "classifier", most: int | None = None, summary_chars: int | None = None, index_base: int | None = None) -> DataFrame:
@@ -72,8 +74,9 @@ def build_digest(articles: DataFrame, batch: str, style: str = "classifier", mos
     most = most if classifier or most else DIGEST_ARTICLES
     base = index_base if index_base is not None else 0 if classifier else 1
     summary = prefix(F.col("summary"), summary_chars or (300 if classifier else 200))
-    line = F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] title='"), "title", F.lit("' summary='"), summary, F.lit("'")) if classifier else F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] "), "title", F.lit(" — "), summary)
-    numbered = number_articles(articles, batch, base, most).select(F.col(batch).alias("batch"), "index", line.alias("line"))
+    told = F.concat(F.lit("] title='"), "title", F.lit("' summary='"), summary, F.lit("'")) if classifier else F.concat(F.lit("] "), "title", F.lit(" — "), summary)
+    short = articles.select(F.col(batch).alias("batch"), "published_at", *_ARRIVAL, told.alias("told"))  # whole summaries stay where they are
+    numbered = number_articles(short, "batch", base, most).select("batch", "index", F.concat(F.lit("["), F.col("index").cast("string"), "told").alias("line"))
     return numbered.groupBy("batch").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY index)").alias("digest"))
 
 

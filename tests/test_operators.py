@@ -565,3 +565,14 @@ def test_digest_and_listing_are_newest_first(spark):
     assert lines == [f"[{i + 1}] t{49 - i} — s" for i in range(20)]
     shown = report.article_view(news.classify_keywords(articles)).collect()
     assert [r.line.split("| ")[1] for r in shown] == [f"t{49 - i}" for i in range(10)]
+
+
+def test_digests_hand_on_few_short_rows(spark):
+    """Before the shuffle each task keeps as many articles of a batch as the digest has, and no whole summary."""
+    from ratewatch.plans import tables
+
+    digests = news.build_digest(tables.articles(spark, "/root/testdata/sf0.01"), "source", "narrative")
+    plan = digests._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in plan
+    at_window = next(line for line in plan.splitlines() if "WindowGroupLimit" in line)
+    assert "summary" not in at_window
