@@ -279,11 +279,11 @@ class ByteBPE:
 _loaded: dict[tuple, ByteBPE] = {}
 
 
-def load(tokenizer_json: str, special: bool = True) -> ByteBPE:
+def load(tokenizer_json: str, special: bool = True, max_cached: int = 60_000) -> ByteBPE:
     """One vocabulary for each Python worker."""
-    key = (hash(tokenizer_json), special)
+    key = (hash(tokenizer_json), special, max_cached)
     if key not in _loaded:
-        _loaded[key] = ByteBPE(tokenizer_json, special)
+        _loaded[key] = ByteBPE(tokenizer_json, special, max_cached)
     return _loaded[key]
 
 

@@ -25,6 +25,8 @@ from ratewatch.llm import bpe
 from ratewatch.llm.common import text_slices
 
 LEAF, FAN = 64, 16
+#: Words in the encoder's cache: edits bring many that are rare, and would push out those that come again.
+CACHED = 150_000
 
 
 class TokenTree:
@@ -42,10 +44,10 @@ class TokenTree:
             self.levels.append(sums)
 
     def _sum(self, pieces: list[str]) -> tuple[int, int]:
-        return sum(map(len, pieces)), self._count(pieces)
+        return len("".join(pieces)), self._count(pieces)
 
     def _count(self, pieces: list[str]) -> int:
-        return sum(map(len, map(self.encoder.pieces.__getitem__, pieces))) // 4
+        return len(b"".join(map(self.encoder.pieces.__getitem__, pieces))) // 4
 
     @property
     def chars(self) -> int:
@@ -64,7 +66,8 @@ class TokenTree:
     def settle(self) -> None:
         """Count the tokens of touched leaves and bring their sums up to the root."""
         if self.touched:
-            self.encoder.know(self.unknown())
+            if new := self.unknown():
+                self.encoder.know(new)
             for leaf in self.touched:
                 self._set(leaf, 1, self._count(self.leaves[leaf]))
             self.touched = set()
@@ -189,7 +192,7 @@ def count_edits(docs: DataFrame, vocabulary_path: str, key: str = "doc_id", text
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        encoder = bpe.load(shipped.value, special=False)
+        encoder = bpe.load(shipped.value, special=False, max_cached=CACHED)
         for batch in batches:
             for part, texts in text_slices(batch, chars=500_000):
                 encoder.trim()

@@ -628,3 +628,18 @@ def test_odd_media(odd, empty):
     assert telephony.from_media(telephony.to_media(empty), ["doc_id"]).count() == 0
     with pytest.raises(ValueError):
         telephony.unriff(b"nothing")
+
+
+def test_counting_asks_the_encoder_only_for_new_words():
+    from ratewatch.llm import bpe, edit_counts
+    from ratewatch.llm import queries as queries_module
+
+    encoder = bpe.load(open(queries_module.BYTE_BPE, encoding="utf-8").read(), special=False)
+    pieces = encoder.pre_tokens("one two three four")
+    encoder.know(set(pieces))
+    tree = edit_counts.TokenTree(pieces, encoder)
+    tree.edit(4, 7, "three")
+    encoder.know(tree.unknown())
+    asked = []
+    tree.encoder = type("E", (), {"pieces": encoder.pieces, "know": lambda self, words: asked.append(words)})()
+    assert tree.tokens > 0 and asked == []
